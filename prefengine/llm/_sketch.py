@@ -64,26 +64,36 @@ def _sketch_block(texts: list[str], k: int, length: int, sketches: int, bottom:
     keep = min(bottom, width)
     if keep < width:  # lowest hashes first; all occurrences of a k-mer stand together
         where = np.argpartition(grid, keep - 1, axis=1)[:, :keep]
+        where.sort(axis=1)
+        low = np.take_along_axis(grid, where, 1)
     else:
-        where = np.broadcast_to(np.arange(width), grid.shape)
-    low = np.take_along_axis(grid, where, 1)
-    order = np.lexsort((where, low))  # by hash, equal ones by place
-    low, where = np.take_along_axis(low, order, 1), np.take_along_axis(where, order, 1)
+        low = grid
+    order = np.argsort(low, axis=1, kind="stable")  # by hash, equal ones in text order
+    ranked = np.take_along_axis(low, order, 1)
     same = np.zeros(low.shape, np.uint64)
-    for j in range(1, keep):
-        equal = low[:, j] == low[:, j - 1]
-        same[:, j] = np.where(equal, same[:, j - 1] + np.uint64(1), np.uint64(0))
-    labelled = mix(low + same * _G)
+    for j in np.flatnonzero((ranked[:, 1:] == ranked[:, :-1]).any(axis=0)) + 1:
+        equal = ranked[:, j] == ranked[:, j - 1]
+        same[equal, j] = same[equal, j - 1] + np.uint64(1)
+    labelled = np.empty(low.shape, np.uint64)
+    np.put_along_axis(labelled, order, mix(ranked + same * _G), 1)
     gone = low == _TOP
+    bits = np.uint64((1 << max(1, int(keep - 1).bit_length())) - 1)
+    column = np.arange(keep, dtype=np.uint64)
     keys = np.zeros((len(texts), sketches), np.uint64)
-    rows = np.arange(len(texts))[:, None]
+    rows = np.arange(len(texts))
+    few = min(length, keep)
+    seen = np.empty(low.shape, np.uint64)
     for s in range(sketches):
-        seen = mix(labelled ^ np.uint64((s + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF))
+        # a permutation of already mixed values; its low bits hold the column, which is the order in the text
+        np.bitwise_xor(labelled, mix(np.array([s + 1], np.uint64))[0], out=seen)
+        seen *= _A
+        seen |= bits
         seen[gone] = _TOP
-        pick = np.argpartition(seen, length - 1, axis=1)[:, :length] if keep > length else np.broadcast_to(np.arange(keep), (len(texts), keep))
-        pick = pick[rows, np.argsort(where[rows, pick], axis=1)]
-        key = np.full(len(texts), np.uint64(s + 1), np.uint64)
-        for j in range(pick.shape[1]):
-            key = mix(key * _G + low[rows[:, 0], pick[:, j]])
+        seen ^= bits ^ column
+        seen.partition(few - 1, axis=1) if few < keep else None
+        pick = np.sort((seen[:, :few] & bits).astype(np.int64), axis=1)
+        key = np.full(len(texts), s + 1, np.uint64)
+        for j in range(few):
+            key = mix(key * _G + low[rows, pick[:, j]])
         keys[:, s] = key
     return keys

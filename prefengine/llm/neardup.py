@@ -27,111 +27,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefengine.llm._packed import fold_batch, folded_texts, packed_parts, source_texts, text_hash, to_text, unpacked
 from prefengine.llm._sketch import mix, order_sketches
-from prefengine.llm._text import fold, trigrams
-
-_LOW48 = np.uint64(0xFFFFFFFFFFFF)
-
-
-def text_hash(texts: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
-
-
-def pack48(a: np.ndarray) -> np.ndarray:
-    """The low 48 bits of each number, as 6 bytes."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-
-
-def unpack48(b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :6] = b
-    return out.reshape(-1).view("<u8")
-
-
-def folded_texts(df: DataFrame, record: str, columns: list[str], min_chars: int) -> DataFrame:
-    """(doc, record, text): the folded text of each record, as GB 18030 bytes, and the low 48 bits of its hash."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = _fold_batch(b, min_chars)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((text_hash(texts) & _LOW48).astype(np.int64)), ids,
-                 pa.array([t.encode("gb18030", "surrogatepass") for t in texts], pa.binary())],
-                names=["doc", "record", "text"])
-
-    kind = df.schema[record].dataType.simpleString()
-    return _source(df, record, columns).mapInArrow(run, f"doc bigint, record {kind}, text binary")
-
-
-def _source(df: DataFrame, record: str, columns: list[str]) -> DataFrame:
-    return df.filter(F.col(record).isNotNull()).select(
-        F.col(record).alias("record"), F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]).alias("text"))
-
-
-def _fold_batch(b: pa.RecordBatch, min_chars: int) -> tuple[pa.Array, list[str]]:
-    folded = [fold(t) for t in b.column(1).to_pylist()]
-    long = [i for i, t in enumerate(folded) if len(t) >= min_chars]
-    return b.column(0).take(pa.array(long, pa.int64())), [folded[i] for i in long]
-
+from prefengine.llm._text import trigrams
 
 def _packed_keys(min_chars: int, k: int, length: int, sketches: int, bottom: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = list(dict.fromkeys(_fold_batch(b, min_chars)[1]))
+            texts = list(dict.fromkeys(fold_batch(b, min_chars)[1]))
             if not texts:
                 continue
             keys = order_sketches(texts, k, length, sketches, bottom).reshape(-1)
-            docs = np.repeat(text_hash(texts), sketches)
-            part = (keys >> np.uint64(48)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            both = np.concatenate([pack48(keys), pack48(docs)], axis=1)[order]
-            rows = [(p, both[cuts[p]:cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
+            rows = packed_parts(keys, np.repeat(text_hash(texts), sketches), parts)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
                                               pa.array([r[1] for r in rows], pa.binary())], names=["part", "packed"])
     return run
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, texts, starts, sizes) of the keys that several texts of a partition share, each text once for a key."""
+    chunks = [x for b in batches for x in b.column(1).to_pylist()]
+    keys, docs = unpacked(chunks)
+    chunks.clear()
+    order = np.argsort(keys)
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
+    shared = np.zeros(len(keys), bool)
+    shared[1:] = same
+    shared[:-1] |= same
+    order = order[shared]
+    keys, docs = keys[order], docs[order]
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])  # copies of a text meet here
+    keys, docs = keys[new], docs[new]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys, docs, starts, np.diff(np.concatenate([starts, [len(keys)]]))
+
+
 def _same_key(hot: int):
-    """Pairs (a, b), a < b, of texts that share a key; for a key of more than ``hot`` texts, (text, null, key)."""
+    """Pairs (a, b), a < b, of texts that share a key of at most ``hot`` texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = [np.frombuffer(x, np.uint8).reshape(-1, 12)
-                  for b in batches for x in b.column(1).to_pylist()]
-        if not chunks:
-            return
-        rows = np.concatenate(chunks)
-        del chunks
-        keys, docs = unpack48(rows[:, :6]), unpack48(rows[:, 6:])
-        del rows
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])  # copies of a text meet here
-        keys, docs = keys[new], docs[new]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        left, right = [], []
+        _, docs, starts, sizes = _by_key(batches)
         few = sizes <= hot
+        left, right = [], []
         for d in range(1, int(sizes[few].max(initial=1))):  # the d-th next text of the same key
             s, n = starts[few & (sizes > d)], sizes[few & (sizes > d)] - d
             at = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
             left.append(docs[at])
             right.append(docs[at + d])
         if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            pairs = np.stack([np.concatenate(left), np.concatenate(right)], 1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].astype(np.int64)
+            pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
             for at in range(0, len(pairs), 50_000):
-                some = pairs[at:at + 50_000].astype(np.int64)
-                yield _rows(some[:, 0], some[:, 1], None)
-        for s, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[at:at + 50_000, i]) for i in (0, 1)], names=["a", "b"])
+    return run
+
+
+def _crowded(hot: int):
+    """(key, doc) of the keys of more than ``hot`` texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, starts, sizes = _by_key(batches)
+        for s, n in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist(), strict=True):
             for at in range(s, s + n, 50_000):
                 end = min(s + n, at + 50_000)
-                yield _rows(docs[at:end].astype(np.int64), None, np.full(end - at, keys[s]).astype(np.int64))
-
-    def _rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
-        nulls = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), nulls if b is None else pa.array(b),
-                                           nulls if key is None else pa.array(key)], names=["a", "b", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:end].astype(np.int64)) for x in (keys, docs)],
+                                                 names=["key", "doc"])
     return run
 
 
@@ -141,7 +104,7 @@ def _prefix_keys(threshold: float):
         for b in batches:
             hots, docs = [], []
             for key, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                grams = np.array([hash3(g) for g in trigrams(text.decode("gb18030", "surrogatepass"))], np.uint64)
+                grams = np.array([hash3(g) for g in trigrams(to_text(text))], np.uint64)
                 grams = np.sort(mix(grams))
                 n = len(grams)
                 grams = grams[:n - int(np.ceil(threshold * n - 1e-9)) + 1]
@@ -187,14 +150,14 @@ def _verified(threshold: float, verify: str):
             left, right, score = [], [], []
             for doc_a, doc_b, text_a, text_b in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if verify == "alignment":
-                    x, y = (t.decode("gb18030", "surrogatepass") for t in (text_a, text_b))
+                    x, y = map(to_text, (text_a, text_b))
                     n = max(len(x), len(y))
                     edits = banded_edits(x, y, int((1 - threshold) * n + 1e-9))
                     s = -1.0 if edits is None else 1 - edits / n
                 else:
                     if text_b != last:
-                        last, mine = text_b, trigrams(text_b.decode("gb18030", "surrogatepass"))
-                    other = trigrams(text_a.decode("gb18030", "surrogatepass"))
+                        last, mine = text_b, trigrams(to_text(text_b))
+                    other = trigrams(to_text(text_a))
                     n, m = len(mine), len(other)
                     if min(n, m) < threshold * max(n, m) - 1e-9:
                         continue
@@ -215,10 +178,10 @@ def similar_texts(texts: DataFrame, source: DataFrame, threshold: float = 0.8, m
     """(a, b, similarity) of all different texts found similar; ``source`` has (record, text), ``texts`` (doc, text)."""
     spark = source.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = (source.mapInArrow(_packed_keys(min_chars, k, length, sketches, bottom, parts), "part int, packed binary")
-              .repartition("part").mapInArrow(_same_key(hot), "a bigint, b bigint, key bigint"))
-    pairs = shared.filter(F.col("b").isNotNull()).select("a", "b")
-    crowded = shared.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("doc"))
+    packed = (source.mapInArrow(_packed_keys(min_chars, k, length, sketches, bottom, parts), "part int, packed binary")
+              .repartition("part"))
+    pairs = packed.mapInArrow(_same_key(hot), "a bigint, b bigint")
+    crowded = packed.mapInArrow(_crowded(hot), "key bigint, doc bigint")
     prefix = (crowded.join(texts, "doc").select("key", "doc", "text")
               .mapInArrow(_prefix_keys(threshold), "key bigint, doc bigint").distinct())
     more = (prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "key")
@@ -233,10 +196,11 @@ def similar_texts(texts: DataFrame, source: DataFrame, threshold: float = 0.8, m
 def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: float = 0.8, **how) -> DataFrame:
     """(record_a, record_b, similarity), record_a < record_b: all pairs of records found similar, copies included."""
     min_chars = how.get("min_chars", 40)
-    folded = folded_texts(df, record, columns, min_chars)
+    source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    folded = folded_texts(source, min_chars)
     members = folded.select("doc", "record").distinct()
     texts = folded.groupBy("doc").agg(F.first("text").alias("text"))
-    links = similar_texts(texts, _source(df, record, columns), threshold, **how)
+    links = similar_texts(texts, source, threshold, **how)
     ours, theirs = (members.select(F.col("doc").alias(d), F.col("record").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
     apart = links.join(ours, "a").join(theirs, "b").select("ra", "rb", "similarity")
     copies = (members.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
