@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOMES = {"p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
+_HOMES = {"p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
