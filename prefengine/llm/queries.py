@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOMES = {"p1_found": "pairs", "p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
+_HOMES = {"p2_found": "ranking", "p6_found": "quotas", "p4_found": "lookalike", "p1_found": "pairs", "p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,4 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from prefengine.llm.quotas import P6_SQL
+    from prefengine.llm.ranking import P2_SQL
+
+    return {"p2_found": P2_SQL, "p6_found": P6_SQL}
