@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOMES = {"p2_found": "ranking", "p6_found": "quotas", "p4_found": "lookalike", "p1_found": "pairs", "p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
+_HOMES = {"p9_found": "subjects", "p2_found": "ranking", "p6_found": "quotas", "p4_found": "lookalike", "p1_found": "pairs", "p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
