@@ -179,9 +179,11 @@ def _normal(text: str, trie: tuple[SpellingTrie, dict[str, str]]) -> str:
 
 def look_alikes(df: DataFrame, record: str, columns: list[str]) -> DataFrame:
     """(record_a, record_b): records without nulls whose columns all look the same while one differs in code points."""
-    rows = df.select(record, *columns).dropna().dropDuplicates([record])
+    rows = df.select(record, *columns).dropna()
     raw = rows.select(record, *columns, F.xxhash64(*columns).alias("_raw"))
     same = one_form(raw, columns).select(F.col(record).alias("r"), "_raw", F.sha2(F.to_json(F.array(*columns)), 256).alias("_seen"))
+    # one exchange, balanced by record, is reused by all that follows, so texts are normalised once
+    same = same.repartition(F.col("_seen"), F.col("r")).distinct()
     # a look has pairs only where it has two spellings; copies of one spelling are never paired with each other
     looks = same.groupBy("_seen").agg(F.min("_raw").alias("lo"), F.max("_raw").alias("hi")).filter("lo != hi").select("_seen")
     mixed = same.join(looks, "_seen")
