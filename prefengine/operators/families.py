@@ -117,10 +117,10 @@ def hour_window(ranges: Column, upper: float = 0.85) -> Column:
 
     def quantile(values: Column, p: float) -> Column:
         ordered = F.array_sort(values)
-        at = (F.size(values) - 1) * F.lit(p)
+        at = F.greatest(F.size(values) - 1, F.lit(0)) * F.lit(p)
         below = F.try_element_at(ordered, (F.floor(at) + 1).cast("int"))
         above = F.try_element_at(ordered, (F.ceil(at) + 1).cast("int"))
-        return below + (above - below) * (at - F.floor(at))
+        return F.when(F.size(values) > 0, below + (above - below) * (at - F.floor(at)))
 
     return F.struct(quantile(low, 0.15).alias("lo"), quantile(high, upper).alias("hi"))
 

@@ -17,9 +17,10 @@ CONVERSATION = T.StructType([T.StructField("id", T.StringType()), T.StructField(
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, broken lines); blank lines are skipped by the reader."""
+    """(records, broken lines); blank lines are skipped."""
     full = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
     return rows.filter("_broken is null").drop("_broken"), rows.filter("_broken is not null").select("_broken")
 
 
