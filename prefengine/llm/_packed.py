@@ -71,6 +71,18 @@ def source_texts(df: DataFrame, record: str, text: Column) -> DataFrame:
     return df.filter(F.col(record).isNotNull()).select(F.col(record).alias("record"), text.alias("text"))
 
 
+def text_tables(source: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """((doc, text), (doc, record)) of a (record, text) table: each text once, and the records that have it.
+
+    Both come from one exchange by text id: as both use all three of its columns, neither is pruned to another one,
+    and the texts are folded only once.
+    """
+    folded = folded_texts(source, min_chars).repartition("doc")
+    texts = folded.groupBy("doc").agg(F.first("text").alias("text"), F.count("record").alias("_n")).filter("_n > 0").select("doc", "text")
+    members = folded.groupBy("doc", "record").agg(F.count("text").alias("_n")).filter("_n > 0").select("doc", "record")
+    return texts, members
+
+
 def folded_texts(source: DataFrame, min_chars: int) -> DataFrame:
     """(doc, record, text) of a (record, text) table: text id, record and folded text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

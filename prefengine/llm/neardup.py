@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import fold_batch, folded_texts, packed_parts, source_texts, text_hash, to_text, unpacked
+from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked
 from prefengine.llm._sketch import mix, order_sketches
 from prefengine.llm._text import trigrams
 
@@ -197,9 +197,7 @@ def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: f
     """(record_a, record_b, similarity), record_a < record_b: all pairs of records found similar, copies included."""
     min_chars = how.get("min_chars", 40)
     source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    folded = folded_texts(source, min_chars)
-    members = folded.select("doc", "record").distinct()
-    texts = folded.groupBy("doc").agg(F.first("text").alias("text"))
+    texts, members = text_tables(source, min_chars)
     links = similar_texts(texts, source, threshold, **how)
     ours, theirs = (members.select(F.col("doc").alias(d), F.col("record").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
     apart = links.join(ours, "a").join(theirs, "b").select("ra", "rb", "similarity")
