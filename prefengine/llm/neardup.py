@@ -204,7 +204,8 @@ def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: f
     copies = (members.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
               .join(members, "doc"))
     alike = (copies.withColumnRenamed("record", "ra").join(copies.withColumnRenamed("record", "rb"), "doc")
-             .filter(F.col("ra") < F.col("rb")).select("ra", "rb", F.lit(1.0).alias("similarity")))
+             # coalesce keeps a null check from being inferred, which would part this exchange from the shared one
+             .filter(F.coalesce(F.col("ra") < F.col("rb"), F.lit(False))).select("ra", "rb", F.lit(1.0).alias("similarity")))
     return apart.unionByName(alike).select(
         F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "similarity")
 
