@@ -33,13 +33,15 @@ def kmer_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return mix(h[inside]), owner[inside], place[inside]
 
 
-def order_sketches(texts: list[str], k: int, length: int, sketches: int, bottom: int) -> np.ndarray:
+def order_sketches(texts: list[str], k: int, length: int, sketches: int, bottom: int, ordered: int | None = None) -> np.ndarray:
     """One row of ``sketches`` keys per text (folded, at least ``k + length`` characters each).
 
     Each k-mer is labelled with its occurrence number, so repeats count.  Of each text the ``bottom`` k-mers of lowest
     hash are kept; every sketch takes the ``length`` of them that are lowest under its own permutation and hashes them
     in the order in which they stand in the text.  Two texts get equal keys with a probability that rises with their
-    edit similarity; an equal key needs ``length`` common k-mers in the same order.
+    edit similarity; an equal key needs ``length`` common k-mers in the same order.  Where whole blocks move, that order
+    changes though little was edited: only the first ``ordered`` sketches (all by default) keep the text order, the rest
+    hash the same choice of k-mers in the order of their hashes.
     """
     out = np.zeros((len(texts), sketches), np.uint64)
     by_size = np.argsort([len(t) for t in texts], kind="stable")
@@ -51,12 +53,12 @@ def order_sketches(texts: list[str], k: int, length: int, sketches: int, bottom:
         while end < len(by_size) and end - at < most and len(texts[by_size[end]]) <= max(first * 5 // 4, first + 8):
             end += 1
         some = by_size[at:end]
-        out[some] = _sketch_block([texts[i] for i in some], k, length, sketches, bottom)
+        out[some] = _sketch_block([texts[i] for i in some], k, length, sketches, bottom, sketches if ordered is None else ordered)
         at = end
     return out
 
 
-def _sketch_block(texts: list[str], k: int, length: int, sketches: int, bottom: int) -> np.ndarray:
+def _sketch_block(texts: list[str], k: int, length: int, sketches: int, bottom: int, ordered: int) -> np.ndarray:
     h, owner, place = kmer_hashes(texts, k)
     width = int(place.max()) + 1
     grid = np.full((len(texts), width), _TOP, np.uint64)
@@ -92,8 +94,11 @@ def _sketch_block(texts: list[str], k: int, length: int, sketches: int, bottom:
         seen ^= bits ^ column
         seen.partition(few - 1, axis=1) if few < keep else None
         pick = np.sort((seen[:, :few] & bits).astype(np.int64), axis=1)
+        chosen = low[rows[:, None], pick]
+        if s >= ordered:
+            chosen.sort(axis=1)
         key = np.full(len(texts), s + 1, np.uint64)
         for j in range(few):
-            key = mix(key * _G + low[rows, pick[:, j]])
+            key = mix(key * _G + chosen[:, j])
         keys[:, s] = key
     return keys
