@@ -124,7 +124,7 @@ def clean_text(c: Column, keep_titles: bool = False) -> Column:
     source, target = MARKS_FROM, MARKS_TO
     if keep_titles:
         source, target = "".join(a for a in source if a not in "《》"), "".join(b for a, b in zip(source, target, strict=True) if a not in "《》")
-    c = F.replace(F.translate(composed(safe_text(c)), source, target), F.lit("…"), F.lit("..."))
+    c = F.replace(F.translate(composed(c.cast("string")), source, target), F.lit("…"), F.lit("..."))
     c = strip_invisible(strip_emoji(strip_tags(c)))
     c = plain_numbers(clock_times(colon_times(month_days(iso_dates(c)))))
     c = F.replace(F.replace(c, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
