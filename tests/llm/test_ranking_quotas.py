@@ -18,6 +18,14 @@ def test_no_score_outweighs_another(rows):
     assert got == {("x", 0): (1, 4.0), ("x", 1): (2, 6.0), ("x", 2): (3, 8.0), ("y", 0): (1, 4.5), ("y", 1): (2, 4.5)}
 
 
+def test_both_ways_to_places_agree(rows):
+    rng = np.random.default_rng(9)
+    data = [(f"s{s}", i, float(rng.integers(0, 3)), float(rng.integers(1, 6)) if rng.random() < 0.97 else None, float(rng.integers(0, 9)), "") for s in range(30) for i in range(rng.integers(1, 7))]
+    a, b = ({(r["s"], r["i"]): (round(r["combined"], 12), r["place_sum"]) for r in ranking.combined_scores(table(rows, data), "s", "i", SCORES, scale="places", max_set_rows=n).collect()}
+            for n in (0, 100))
+    assert a == b and a
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_places_order_equals_sum_of_places(rows, seed):
     rng = np.random.default_rng(seed)
