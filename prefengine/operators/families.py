@@ -12,6 +12,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from prefengine.functions.rules import ZH_SHOP, RulePack, answer_quality, ranges_overlap, stance, time_ranges
 from prefengine.functions.text import contains_any
+from prefengine.plans.ordering import group_rank
 
 
 def canonical_questions(rows: DataFrame, cluster: str, record: str, question: str, norm: str) -> DataFrame:
@@ -57,7 +58,7 @@ def merged_families(rows: DataFrame, cluster: str, record: str, answer: str, nor
 
 def singleton_families(rows: DataFrame, cluster: str, record: str) -> DataFrame:
     """One family for each row, numbered by position."""
-    return rows.withColumn("family", (F.row_number().over(W.partitionBy(cluster).orderBy(record)) - 1).cast("int"))
+    return group_rank(rows, cluster, [F.col(record)], "_at").withColumn("family", (F.col("_at") - 1).cast("int")).drop("_at")
 
 
 def split_paths(rows: DataFrame, cluster: str, kind: str, apart: list[str], large: int = 100) -> tuple[DataFrame, DataFrame]:

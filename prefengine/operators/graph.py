@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prefengine.plans.lineage import cut
+from prefengine.plans.ordering import global_rank
 
 
 def key_edges(df: DataFrame, record: str, key: Column) -> DataFrame:
@@ -46,10 +47,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, most: in
 
 
 def number_clusters(components: DataFrame) -> DataFrame:
-    """(component, size, cluster_id): largest first, ties by smallest member; ranks only the component table."""
+    """(component, size, cluster_id): largest first, ties by smallest member."""
     sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    order = W.orderBy(F.desc("size"), "component")
-    return sizes.withColumn("cluster_id", F.row_number().over(order) - 1)
+    return global_rank(sizes, [F.desc("size"), F.col("component")], "_rank").withColumn("cluster_id", F.col("_rank") - 1).drop("_rank")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, record: str, vector: str, k: int, least: float, block: int = 5_000) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from prefengine.plans.ordering import global_rank, running_total
+
 
 def unique_candidates(rows: DataFrame, record: str, index: str, content: str) -> DataFrame:
     """(record, index, content): trimmed, without empty ones, the first of equal texts, numbered anew from 0."""
@@ -119,22 +121,6 @@ def usable_pair(chosen: Column, rejected: Column, delta: Column) -> Column:
     return F.when(a == b, "equal_texts").when(delta.isNull() | F.isnan(delta), "no_delta").otherwise("kept")
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the 1-based rank in a total order, without a single-task sort: range partitions are counted, then ranked."""
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    from prefengine.plans.lineage import cut
-
-    placed = cut(placed)
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    before, run = {}, 0
-    for p in sorted(sizes):
-        before[p] = run
-        run += sizes[p]
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_part")] if before else F.lit(0)
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return placed.withColumn(name, (at + start).cast("bigint")).drop("_part")
-
-
 def weakest_dropped(pairs: DataFrame, delta: str, record: str, fraction: float = 0.1) -> DataFrame:
     """pairs with ``kept``: the weakest fraction (half to even) by (delta, record) is dropped; ties there may be kept."""
     fraction = min(1.0, max(0.0, fraction))
@@ -146,15 +132,13 @@ def weakest_dropped(pairs: DataFrame, delta: str, record: str, fraction: float =
 def nth_stats(df: DataFrame, value: str, at: dict[str, float], half_even: bool = False) -> DataFrame:
     """One row: for each name the element at the whole position (n - 1) * p of the ordered values, and their mean.
 
-    Positions come from value counts, so the ordering is over distinct values only.
+    Positions come from running totals of the value counts, so no task sees all values.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    order = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("n").over(order))
-    total = F.sum("n").over(W.partitionBy())
-    upto = upto.withColumn("total", total)
+    upto = running_total(counts, [F.col("v")], F.col("n"), "upto")
+    total = upto.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     def position(p: float) -> Column:
-        x = (F.col("total") - 1) * F.lit(p)
+        x = F.lit((total - 1) * p)
         return F.bround(x) if half_even else F.floor(x + 1e-9)
     picks = [F.min(F.when(F.col("upto") > position(p), F.col("v"))).alias(name) for name, p in at.items()]
     return upto.agg(F.sum("n").alias("count"), *picks, (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefengine.operators.preference import global_rank
+from prefengine.plans.ordering import global_rank, group_rank
 
 
 def shuffled(record: Column, seed: int) -> Column:
@@ -35,7 +34,7 @@ def first_rows(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
 
 def _round_of(df: DataFrame, record: str, cluster: str, seed: int) -> DataFrame:
     h = shuffled(F.col(record), seed)
-    return df.withColumn("_round", F.row_number().over(W.partitionBy(cluster).orderBy(h, record)))
+    return group_rank(df.withColumn("_h", h), cluster, [F.col("_h"), F.col(record)], "_round").drop("_h")
 
 
 def coverage_sample(df: DataFrame, record: str, cluster: str, ratio: float, seed: int) -> DataFrame:

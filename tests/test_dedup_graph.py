@@ -154,3 +154,19 @@ def test_hour_window(rows):
     assert (a["lo"], a["hi"]) == (pytest.approx(27.6), 72.0) and (b["lo"], b["hi"]) == (None, None)
     n = rows([(0.0,), (5.2,), (25.0,), (0.3,)], "h double")
     assert [tuple(r) for r in n.select(families.rounded_hours(F.col("h"), True), families.rounded_hours(F.col("h"), False)).collect()] == [(0, 0), (6, 5), (48, 24), (1, 1)]
+
+
+def test_ranks_without_one_task(rows):
+    from prefengine.plans.ordering import global_rank, group_rank, running_total
+
+    rng = random.Random(2)
+    data = [(i, rng.choice(["a", "b", None]), rng.randrange(50)) for i in range(300)]
+    df = rows(data, "i bigint, g string, v int").repartition(7)
+    order = [F.col("v"), F.col("i")]
+    want = {i: n for n, (_, i) in enumerate(sorted((v, i) for i, _, v in data), 1)}
+    assert {r["i"]: r["n"] for r in global_rank(df, order, "n").collect()} == want
+    a = {(r["i"], r["n"]) for r in group_rank(df, "g", order, "n", most=0).collect()}
+    assert a == {(r["i"], r["n"]) for r in group_rank(df, "g", order, "n").collect()} and len(a) == 300
+    last = max(running_total(df, order, F.col("v"), "n").collect(), key=lambda r: (r["v"], r["i"]))
+    assert last["n"] == sum(v for *_, v in data)
+    assert group_rank(df.limit(0), "g", order, "n").count() == 0 and global_rank(df.limit(0), order, "n").count() == 0
