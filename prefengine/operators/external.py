@@ -85,3 +85,37 @@ def ask(requests: DataFrame, key: str, request: str, model: Callable[[], Model],
                 yield pd.DataFrame({key: b[key], "ok": [g[0] for g in got], "response": [g[1] for g in got], "error": [g[2] for g in got]})
 
     return requests.select(key, request).mapInPandas(run, f"`{key}` {kind}, ok boolean, response string, error string")
+
+
+class Encoder(Protocol):
+    def encode(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class HashEncoder:
+    """An offline stand-in for a sentence encoder: hashed character pairs, unit length."""
+
+    def __init__(self, size: int = 64):
+        self.size = size
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * self.size
+            for i in range(max(1, len(t) - 1)):
+                h = int.from_bytes(hashlib.blake2b(t[i:i + 2].encode(), digest_size=8).digest(), "big")
+                v[h % self.size] += 1.0 if h >> 32 & 1 else -1.0
+            n = sum(x * x for x in v) ** 0.5
+            out.append([x / n for x in v] if n else v)
+        return out
+
+
+def embed(rows: DataFrame, key: str, text: str, encoder: Callable[[], Encoder]) -> DataFrame:
+    """(key, vector) of every row; ``encoder`` is made once per task and gets whole batches."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = encoder()
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "vector": client.encode(["" if t is None else t for t in b[text]])})
+
+    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, vector array<double>")

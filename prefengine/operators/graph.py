@@ -85,6 +85,8 @@ def nearest(queries: DataFrame, rows: DataFrame, record: str, vector: str, k: in
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    if not len(vectors):
+        return np.zeros((0, 0))
     m = np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
@@ -126,17 +128,18 @@ def similar_vectors(rows: DataFrame, record: str, vector: str, least: float, piv
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         mine, other = group[group["home"]], group[~group["home"]]
         out = []
-        a, ia = _unit(mine["v"]), mine["id"].to_numpy()
+        if mine.empty or other.empty:
+            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        a, ia, cell = _unit(mine["v"]), mine["id"].to_numpy(), mine["own"].iloc[0]
         for at in range(0, len(other), 4_000):
             some = other.iloc[at:at + 4_000]
             ib, own = some["id"].to_numpy(), some["own"].to_numpy()
-            score = a @ _unit(some["v"]).T if len(mine) else np.zeros((0, len(some)))
-            cell = mine["cell"].iloc[0] if len(mine) else 0
+            score = a @ _unit(some["v"]).T
             # a pair of two cells is reported in the lower one, a pair of one cell once
             ok = (score >= least) & np.where(own[None, :] == cell, ia[:, None] < ib[None, :], own[None, :] > cell)
             i, j = np.nonzero(ok)
             out.append(pd.DataFrame({"src": np.minimum(ia[i], ib[j]), "dst": np.maximum(ia[i], ib[j]), "score": score[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.concat(out)
 
     return (spread.unionByName(inside).groupBy("cell", "slice")
             .applyInPandas(compare, "src bigint, dst bigint, score double").distinct())

@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-TURNS = T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("value", T.StringType())]))
-CONVERSATION = T.StructType([T.StructField("id", T.StringType()), T.StructField("conversations", TURNS)])
-
+from prefengine.schemas import CONVERSATION  # noqa: F401 - the usual schema of a record file
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(records, broken lines); blank lines are skipped."""
