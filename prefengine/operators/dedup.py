@@ -61,21 +61,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def candidate_pairs(df: DataFrame, record: str, block: str, rank: list[str]) -> DataFrame:
-    """(loser, winner) of all pairs of rows that share a block key, the better-ranked one being the winner.
+def prefix_pairs(text: Column, least: float) -> Column:
+    """The character pairs of a text of which any text of its block with a sequence ratio >= least must have one.
 
-    ``block`` is a key text; rows of one block text are compared through the distinct texts, so copies don't multiply
-    the comparisons of texts.
+    A ratio of ``least`` leaves at most (1 - least) of both texts' characters unmatched, and every unmatched one parts at
+    most one pair, so the distinct pairs that both share are few less than all; in a fixed order (by hash) the first
+    ones, of the number that may be missing and one more, must meet.  Texts of a block differ by at most 3 characters
+    or, beyond 200, by what the ratio allows.
     """
-    texts = df.select(block).distinct()
-    keyed = texts.select(F.col(block).alias("t"), F.explode(block_keys(F.col(block))).alias("k"))
-    a, b = (keyed.select("k", F.col("t").alias(x)) for x in ("ta", "tb"))
-    # equal lengths within a band differ by at most 3 characters, so the bound is checked before any comparison
-    near = a.join(b, "k").select("ta", "tb").distinct()
-    rows = df.select(F.col(record), F.col(block), F.struct(*rank).alias("_rank"))
-    left = rows.select(F.col(record).alias("loser"), F.col(block).alias("ta"), F.col("_rank").alias("_ra"))
-    right = rows.select(F.col(record).alias("winner"), F.col(block).alias("tb"), F.col("_rank").alias("_rb"))
-    return (near.join(left, "ta").join(right, "tb").filter(F.col("_ra") < F.col("_rb")).select("loser", "winner", "ta", "tb"))
+    n = F.length(text)
+    pairs = F.when(n < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))))
+    other = F.greatest(n - 3, n * least / (2 - least))
+    shared = F.ceil((n + other) * (least / 2 - (1 - least)) - 1 - 1e-9) - (n - 1 - F.size(pairs))
+    first = F.greatest(F.size(pairs) - F.greatest(shared, F.lit(1)) + 1, F.lit(1)).cast("int")
+    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
+    return F.transform(F.slice(ordered, F.lit(1), first), lambda x: x["p"])
+
+
+def near_texts(texts: DataFrame, text: str, least: float) -> DataFrame:
+    """(ta, tb): all ordered pairs of distinct texts (and each with itself) of a common block with a ratio >= least."""
+    keyed = texts.select(F.col(text).alias("t")).distinct()
+    keyed = keyed.select("t", F.explode(block_keys(F.col("t"))).alias("k")).select("t", "k", F.explode(prefix_pairs(F.col("t"), least)).alias("p"))
+    a, b = (keyed.select("k", "p", F.col("t").alias(x)) for x in ("ta", "tb"))
+    near = a.join(b, ["k", "p"]).filter(ratio_bound(F.col("ta"), F.col("tb")) >= least).select("ta", "tb").distinct()
+    return near.filter(sequence_ratio("ta", "tb") >= least)
 
 
 def greedy_survivors(rows: DataFrame, edges: DataFrame, record: str, most: int = 50) -> DataFrame:
@@ -110,13 +119,10 @@ def fuzzy_dedup(df: DataFrame, record: str, question: str, answer: str, rank: li
 
     Questions are compared once per pair of distinct texts; the dear answer comparison only runs on what is left.
     """
-    pairs = candidate_pairs(df, record, question, rank)
-    texts = pairs.select("ta", "tb").distinct().filter(ratio_bound(F.col("ta"), F.col("tb")) >= q_least)
-    near = texts.filter(sequence_ratio("ta", "tb") >= q_least)
-    answers = df.select(record, answer)
-    both = (pairs.join(near, ["ta", "tb"])
-            .join(answers.select(F.col(record).alias("loser"), F.col(answer).alias("aa")), "loser")
-            .join(answers.select(F.col(record).alias("winner"), F.col(answer).alias("ab")), "winner"))
+    rows = df.select(F.col(record), F.col(question), F.col(answer), F.struct(*rank).alias("_rank"))
+    left = rows.select(F.col(record).alias("loser"), F.col(question).alias("ta"), F.col(answer).alias("aa"), F.col("_rank").alias("_ra"))
+    right = rows.select(F.col(record).alias("winner"), F.col(question).alias("tb"), F.col(answer).alias("ab"), F.col("_rank").alias("_rb"))
+    both = near_texts(df, question, q_least).join(left, "ta").join(right, "tb").filter(F.col("_ra") < F.col("_rb"))
     bars = F.lit("||")
     edges = both.filter(((ratio_bound(F.col("aa"), F.col("ab")) >= a_least) & (sequence_ratio("aa", "ab") >= a_least))
                         | (sequence_ratio(F.concat("ta", bars, "aa"), F.concat("tb", bars, "ab")) >= pair_least))

@@ -158,8 +158,8 @@ def char_tfidf(df: DataFrame, record: str, text: str, low: int = 2, high: int =
     grams = None
     for n in range(low, high + 1):
         starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        some = df.filter(F.length(text) >= n).select(record, F.lower(text).alias("t"), F.explode(starts).alias("i"))
-        some = some.select(record, F.substring("t", F.col("i"), F.lit(n)).alias("gram"))
+        some = df.filter(F.length(text) >= n).select(record, F.lower(text).alias("_t"), F.explode(starts).alias("_i"))
+        some = some.select(record, F.substring("_t", F.col("_i"), F.lit(n)).alias("gram"))
         grams = some if grams is None else grams.unionByName(some)
     tf = grams.groupBy(record, "gram").agg(F.count("*").alias("tf"))
     freq = tf.groupBy("gram").agg(F.count("*").alias("df"))
@@ -170,9 +170,23 @@ def char_tfidf(df: DataFrame, record: str, text: str, low: int = 2, high: int =
     return raw.join(norm, record).select(record, "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def rare_prefix(vectors: DataFrame, record: str, frequency: DataFrame, least: float) -> DataFrame:
+    """(record, gram): of each unit vector the rarest grams, up to where the rest is shorter than ``least``.
+
+    Two vectors with a dot product >= least have a gram in common among these: what is left of the one whose grams end
+    earlier in the order of rarity is too short to reach it.  So frequent grams hardly ever join.
+    """
+    order = W.partitionBy(record).orderBy(F.desc("df"), F.desc("gram")).rowsBetween(W.unboundedPreceding, 0)
+    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
+    return vectors.join(frequency, "gram").withColumn("_tail", tail).filter(F.col("_tail") >= least - 1e-9).select(record, "gram")
+
+
 def sparse_matches(queries: DataFrame, rows: DataFrame, q: str, r: str, least: float, k: int = 24) -> DataFrame:
-    """(q, r, score): the k best rows of each query by the dot product over common grams."""
-    score = (queries.select(q, "gram", F.col("weight").alias("wq")).join(rows.select(r, "gram", F.col("weight").alias("wr")), "gram")
+    """(q, r, score): the k best rows of each query by the dot product of unit vectors over common grams, score >= least."""
+    frequency = queries.select("gram").unionByName(rows.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    pairs = rare_prefix(queries, q, frequency, least).join(rare_prefix(rows, r, frequency, least), "gram").select(q, r).distinct()
+    score = (pairs.join(queries.select(q, "gram", F.col("weight").alias("wq")), q)
+             .join(rows.select(r, "gram", F.col("weight").alias("wr")), [r, "gram"])
              .groupBy(q, r).agg(F.sum(F.col("wq") * F.col("wr")).alias("score")).filter(F.col("score") >= least))
     return (score.withColumn("at", F.row_number().over(W.partitionBy(q).orderBy(F.desc("score"), r)))
             .filter(F.col("at") <= k).drop("at"))

@@ -94,14 +94,15 @@ def answer_length_histogram(spark, d):
     return dedup.top_values(T.qa(spark, d), text.length_bucket(F.col("answer"), 20, 200).cast("bigint"))
 
 
-@query(f"""WITH r AS (SELECT *, least(length(q) // 4, 50) AS band FROM {_DEDUP} WHERE best = idx),
- t AS (SELECT DISTINCT q, 'p:' || band || ':' || left(q, 8) AS k FROM r UNION SELECT DISTINCT q, 's:' || band || ':' || right(q, 8) FROM r),
- n AS (SELECT DISTINCT x.q AS qa, y.q AS qb FROM t x JOIN t y USING (k))
- SELECT l.idx AS loser, w.idx AS winner FROM n JOIN r l ON l.q = n.qa JOIN r w ON w.q = n.qb
- WHERE (-length(l.answer), -length(l.question), l.idx) > (-length(w.answer), -length(w.question), w.idx)""")
+@query(f"""WITH t AS (SELECT DISTINCT q, least(length(q) // 4, 50) AS band FROM {_DEDUP} WHERE best = idx),
+ k AS (SELECT q, 'p:' || band || ':' || left(q, 8) AS block FROM t UNION SELECT q, 's:' || band || ':' || right(q, 8) FROM t)
+ SELECT block, count(*) AS texts, count(*) * (count(*) - 1) // 2 AS pairs FROM k GROUP BY 1 HAVING count(*) > 1""")
 def block_candidates(spark, d):
-    t = _deduplicated(spark, d).filter("duplicate_of is null").withColumns({"r1": F.length("answer"), "r2": F.length("question"), "r3": -F.col("idx")})
-    return dedup.candidate_pairs(t, "idx", "q", ["r1", "r2", "r3"]).select("loser", "winner")
+    """The blocks of the fuzzy comparison with the pairs that each would give; the pairs themselves are never made."""
+    t = _deduplicated(spark, d).filter("duplicate_of is null").select("q").distinct()
+    n = F.count("*")
+    return (t.select(F.explode(dedup.block_keys("q")).alias("block")).groupBy("block").agg(n.alias("texts"), F.floor(n * (n - 1) / 2).alias("pairs"))
+            .filter("texts > 1"))
 
 
 @query()

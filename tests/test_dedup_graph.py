@@ -51,6 +51,39 @@ def test_fuzzy_dedup_equals_a_scan(rows):
     assert sorted(r["i"] for r in out.filter("kept").collect()) == sorted(i for i, *_ in kept)
 
 
+def test_near_texts_equal_all_pairs(rows):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(n)) for n in (1, 2, 5, 13, 26, 40, 60, 120, 230, 300)]
+    texts = set(base)
+    for t in base:
+        for _ in range(12):
+            x = list(t)
+            for _ in range(rng.randint(1, max(1, len(t) // 25))):
+                at = rng.randrange(len(x))
+                x[at:at + 1] = rng.choice([[], [x[at], rng.choice("甲乙丙")], [rng.choice("甲乙丙")]])
+                x = x or ["甲"]
+            texts.add("".join(x))
+    def keys(q):
+        band = min(len(q) // 4, 50)
+        return {("p", band, q[:8]), ("s", band, q[-8:])}
+    want = {(a, b) for a in texts for b in texts if keys(a) & keys(b) and SequenceMatcher(None, a, b).ratio() >= 0.96}
+    got = {(r["ta"], r["tb"]) for r in dedup.near_texts(rows([(t,) for t in texts], "t string"), "t", 0.96).collect()}
+    assert got == want and len(want) > len(texts)
+
+
+def test_sparse_matches_equal_all_pairs(rows):
+    rng = random.Random(5)
+    data = [(i, "".join(rng.choice("abcd" if i % 2 else "abcdefgh") for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    w = graph.char_tfidf(rows(data, "i bigint, t string"), "i", "t")
+    vec = {}
+    for r in w.collect():
+        vec.setdefault(r["i"], {})[r["gram"]] = r["weight"]
+    for least in (0.3, 0.72):
+        got = {(r["q"], r["r"]): r["score"] for r in graph.sparse_matches(w.withColumnRenamed("i", "q"), w.withColumnRenamed("i", "r"), "q", "r", least, 100).collect()}
+        dot = {(a, b): sum(x * vec[b].get(g, 0.0) for g, x in vec[a].items()) for a in vec for b in vec}
+        assert set(got) == {p for p, s in dot.items() if s >= least} and all(abs(got[p] - dot[p]) < 1e-9 for p in got)
+
+
 def test_block_keys(rows):
     got = [r[0] for r in rows([("",), ("abcdefghij",)], "t string").select(dedup.block_keys("t")).collect()]
     assert got == [["empty"], ["p:2:abcdefgh", "s:2:cdefghij"]]
