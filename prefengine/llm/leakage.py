@@ -165,3 +165,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/eval_items.parquet")
     return leaked_passages(docs, items).select("doc_id", "item_id").distinct()
+
+
+def p8_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest shared passage of each document and item, two edits allowed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_items.parquet"), edits=2, q=8)

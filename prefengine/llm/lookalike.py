@@ -199,3 +199,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/sample_raw.parquet")
     return look_alikes(rows, "idx", ["question_raw", "answer_raw"]).select(
         F.col("record_a").alias("idx_a"), F.col("record_b").alias("idx_b"))
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its texts in one form."""
+    rows = spark.read.parquet(f"{sf_dir}/sample_raw.parquet").select("idx", "question_raw", "answer_raw")
+    return one_form(rows, ["question_raw", "answer_raw"])

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked
 from prefengine.llm._sketch import mix, order_sketches
 from prefengine.llm._text import trigrams
+from prefengine.operators.graph import connected_components
+from prefengine.plans.lineage import cut
 
 def _packed_keys(min_chars: int, k: int, length: int, sketches: int, bottom: int, ordered: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,33 @@ def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: f
         F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "similarity")
 
 
+def duplicate_groups(df: DataFrame, record: str, columns: list[str], threshold: float = 0.8, **how) -> DataFrame:
+    """(record, group, links) of every record: the smallest record of its group, and to how many other texts it is linked.
+
+    Groups are the connected components of the texts' links; the records of one text share a group, and are never paired.
+    """
+    min_chars = how.get("min_chars", 40)
+    source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
+    texts, members = text_tables(source, min_chars)
+    links = cut(similar_texts(texts, source, threshold, **how).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    members = cut(members)
+    parts = connected_components(members.select("doc").distinct(), links, "doc")
+    degree = (links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy("src").agg(F.count("*").alias("links"))
+              .withColumnRenamed("src", "doc"))
+    placed = cut(members.join(parts.withColumnRenamed("node", "doc"), "doc").join(degree, "doc", "left"))
+    first = placed.groupBy("component").agg(F.min("record").alias("group"))
+    alone = df.filter(F.col(record).isNotNull()).select(F.col(record).alias("record")).distinct().join(placed.select("record"), "record", "left_anti")
+    return (placed.join(first, "component").select("record", "group", F.coalesce("links", F.lit(0)).alias("links"))
+            .unionByName(alone.select("record", F.col("record").alias("group"), F.lit(0).cast("bigint").alias("links"))))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/sample_clean.parquet")
     found = near_duplicates(rows, "idx", ["question_clean", "answer_clean"], threshold=0.7)
     return found.select(F.col("record_a").alias("idx_a"), F.col("record_b").alias("idx_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its group of near-duplicates and its number of links."""
+    rows = spark.read.parquet(f"{sf_dir}/sample_clean.parquet")
+    return duplicate_groups(rows, "idx", ["question_clean", "answer_clean"], threshold=0.7).withColumnRenamed("record", "idx")

@@ -7,7 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOMES = {"p9_found": "subjects", "p2_found": "ranking", "p6_found": "quotas", "p4_found": "lookalike", "p1_found": "pairs", "p3_found": "splits", "p5_found": "neardup", "p7_ids": "tokenize", "p8_found": "leakage"}
+_HOMES = {
+    "p1_found": "pairs", "p2_found": "ranking", "p2_ranking": "ranking", "p3_found": "splits", "p3_sources": "splits", "p4_found": "lookalike", "p4_forms": "lookalike",
+    "p5_found": "neardup", "p5_groups": "neardup", "p6_found": "quotas", "p6_sample": "quotas", "p7_ids": "tokenize", "p8_found": "leakage", "p8_regions": "leakage",
+    "p9_found": "subjects", "p9_mix": "subjects",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

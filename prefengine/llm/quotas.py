@@ -123,16 +123,23 @@ def quota_sample(records: DataFrame, record: str, category: Column, margin: Colu
     return sample, report
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = spark.read.parquet(f"{sf_dir}/sft_train.parquet")
     targets = spark.read.parquet(f"{sf_dir}/type_targets.parquet").withColumnRenamed("question_type", "category")
-    plans = spark.read.parquet(f"{sf_dir}/sample_plans.parquet")
-    _, report = quota_sample(rows, "id", F.col("metadata.question_type"), F.col("source"), targets, plans)
+    return quota_sample(rows, "id", F.col("metadata.question_type"), F.col("source"), targets, spark.read.parquet(f"{sf_dir}/sample_plans.parquet"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # exact check: the gap stands where the supply itself falls short
-    return (report.filter((F.col("gap") > 0) & (F.col("supply") < F.col("needed")))
+    return (_drawn(spark, sf_dir)[1].filter((F.col("gap") > 0) & (F.col("supply") < F.col("needed")))
             .select("plan", F.col("name").alias("question_type")))
 
 
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records drawn for every plan."""
+    return _drawn(spark, sf_dir)[0].select("plan", F.col("record").alias("id"), F.col("category").alias("question_type"))
+
+
 P6_SQL = """
 WITH t AS (SELECT lower(regexp_replace(metadata.question_type, '^[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}\\x{200b}\\x{2060}\\x{feff}]+|[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}\\x{200b}\\x{2060}\\x{feff}]+$', '', 'g')) AS k, count(DISTINCT id) AS n
   FROM sft_train GROUP BY 1)

@@ -292,3 +292,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/subject_labels.parquet")
     return assign_subjects(docs, train(labelled_sample(docs, labels, max_labelled=3000)))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, subject, documents): the corpus by source and subject."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return (p9_found(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id")
+            .groupBy("source", "subject").agg(F.count("*").alias("documents")))

@@ -167,3 +167,30 @@ def test_leaks_in_blocks_and_of_nothing(rows):
     many = set(map(tuple, leakage.leaked_passages(docs, items, max_index_chars=120).select("doc_id", "item_id").collect()))
     assert one == many == {(i, i) for i in range(5)}
     assert leakage.leaked_passages(docs.limit(0), items).count() == 0 and leakage.leaked_passages(docs, items.limit(0)).count() == 0
+
+
+def test_groups(rows):
+    texts = corpus(4, groups=6) + ["短", None]
+    df = rows([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (90, texts[0])], "i bigint, q string")
+    out = {r["record"]: (r["group"], r["links"]) for r in neardup.duplicate_groups(df, "i", ["q"], 0.7).collect()}
+    pairs = [(r["record_a"], r["record_b"]) for r in neardup.near_duplicates(df, "i", ["q"], 0.7).collect()]
+    assert len(out) == len(texts) + 1
+    root = {i: i for i in out}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert {i: g for i, (g, _) in out.items()} == {i: find(i) for i in out}
+    assert out[len(texts) - 1] == (len(texts) - 1, 0) and out[90][0] == out[0][0] and out[90][1] == out[0][1]
+    assert neardup.duplicate_groups(df.limit(0), "i", ["q"]).count() == 0
+
+
+def test_overlap_counts(rows):
+    links = rows([("t1", "v1", 0.5), ("t2", "v1", 1.0), ("t3", "v2", 1.0)], "train_id string, val_id string, coverage_val double")
+    train = rows([("t1", "a"), ("t1", "a"), ("t2", "a"), ("t3", None)], "id string, source string")
+    held = rows([("v1", "test", "x"), ("v2", "val", "x"), ("v3", "val", "x")], "id string, split string, source string")
+    got = {tuple(r) for r in splits.overlap_counts(links, train, held, "id", "split", "source").collect()}
+    assert got == {("test", "x", "a", 1, 2, 0.75), ("val", "x", None, 1, 1, 1.0)}
