@@ -25,6 +25,10 @@ CONTROL = "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}-\\x{9F}]"
 REPEATED = "([,，.。!！?？~～:：;；、])\\1+"
 SPACED = "(?U)\\s*([,，.。!！?？:：;；、])\\s*"
 NORM_CLASS = "[，,。.!！?？:：;；、/\\\\|()\\[\\]{}\"'`~\\-]+"
+YEAR_MONTH_DAY = "(?U)(?<!\\d)(20\\d{2})\\s*[-/.年]\\s*(\\d{1,2})\\s*[-/.月]\\s*(\\d{1,2})\\s*日?(?!\\d)"
+MONTH_DAY = "(?U)(?<!\\d)(\\d{1,2})\\s*[-/.月]\\s*(\\d{1,2})\\s*日(?!\\d)"
+COLON_TIME = "(?U)(?<!\\d)(\\d{1,2})\\s*[:：]\\s*(\\d{1,2})(?!\\d)"
+CLOCK_TIME = "(?U)(?<!\\d)(\\d{1,2})\\s*点\\s*(\\d{1,2})?\\s*分?(?!\\d)"
 LOW_VALUE_QUESTIONS = ("在吗", "在不在", "有人吗", "你好", "您好", "好的", "好", "嗯", "哦", "收到")
 LOW_VALUE_ANSWERS = ("好的", "好", "嗯", "哦", "亲", "亲亲", "您好", "你好", "在的", "在呢", "稍等", "稍等哈", "请稍等", "不客气", "谢谢")
 
@@ -74,22 +78,22 @@ def _padded(c: Column, pattern: str, replacement: str) -> Column:
 
 def iso_dates(c: Column) -> Column:
     """20dd-m-d in any of its spellings as YYYY-MM-DD."""
-    return _padded(c, "(?U)(?<!\\d)(20\\d{2})\\s*[-/.年]\\s*(\\d{1,2})\\s*[-/.月]\\s*(\\d{1,2})\\s*日?(?!\\d)", "$1-<2>-<3>")
+    return _padded(c, YEAR_MONTH_DAY, "$1-<2>-<3>")
 
 
 def month_days(c: Column) -> Column:
     """m月d日 as MM-DD; a range such as 3-5日 reads as a date, too."""
-    return _padded(c, "(?U)(?<!\\d)(\\d{1,2})\\s*[-/.月]\\s*(\\d{1,2})\\s*日(?!\\d)", "<1>-<2>")
+    return _padded(c, MONTH_DAY, "<1>-<2>")
 
 
 def colon_times(c: Column) -> Column:
     """h:m as HH:MM, whatever the numbers."""
-    return _padded(c, "(?U)(?<!\\d)(\\d{1,2})\\s*[:：]\\s*(\\d{1,2})(?!\\d)", "<1>:<2>")
+    return _padded(c, COLON_TIME, "<1>:<2>")
 
 
 def clock_times(c: Column) -> Column:
     """h点 and h点m分 as HH:MM."""
-    return _padded(c, "(?U)(?<!\\d)(\\d{1,2})\\s*点\\s*(\\d{1,2})?\\s*分?(?!\\d)", "<1>:<2>")
+    return _padded(c, CLOCK_TIME, "<1>:<2>")
 
 
 def plain_numbers(c: Column) -> Column:
