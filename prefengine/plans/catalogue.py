@@ -735,3 +735,88 @@ def user_sessions(spark, d):
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# --- record shapes, prompts, remaining joins ------------------------------------------------------------------------
+
+@query(f"""SELECT 'customer_service_' || lpad(idx::VARCHAR, 6, '0') AS id, idx, question AS first, answer AS second FROM {T.QA}""")
+def qa_records(spark, d):
+    t = T.qa(spark, d)
+    r = t.select("idx", *records.qa_record(F.col("idx"), F.col("question"), F.col("answer")))
+    return r.select("id", "idx", F.col("conversations")[0]["value"].alias("first"), F.col("conversations")[1]["value"].alias("second"))
+
+
+@query(f"""SELECT id, '问：' || coalesce(question, '') || chr(10) || '答：' || coalesce(chosen, '') || chr(10) || '不超过' || least(220, greatest(length(coalesce(chosen, '')) + 80, length(coalesce(chosen, '')) * 22 // 10)) || '字' AS prompt
+  FROM {T.PAIRS}""")
+def rewrite_prompts(spark, d):
+    n = text.target_length(F.coalesce("chosen", F.lit("")))
+    return T.pairs(spark, d).select("id", text.filled("问：{q}\n答：{a}\n不超过{n}字", q=F.col("question"), a=F.col("chosen"), n=n).alias("prompt"))
+
+
+@query(f"""SELECT id, string_agg('[candidate ' || i || '] temperature=' || (ARRAY[0.5, 0.7, 0.9])[i + 1] || ', top_p=0.9' || chr(10) || content, chr(10) || chr(10) ORDER BY i) AS lines FROM {_UNIQUE} GROUP BY 1""")
+def candidate_lines(spark, d):
+    grid = preference.sampling_grid([0.5, 0.7, 0.9], [0.9, 0.9, 0.9])
+    u = preference.unique_candidates(_candidates(spark, d), "id", "i", "content")
+    warm = F.element_at(F.array(*[F.lit(t) for _, t, _ in grid]), F.col("i") + 1)
+    rows = u.select("id", F.struct(F.col("i").alias("index"), warm.alias("temperature"), F.lit(0.9).alias("top_p"), "content").alias("c"))
+    return rows.groupBy("id").agg(text.candidates_text(F.array_sort(F.collect_list("c"))).alias("lines"))  # a few candidates each
+
+
+@query(f"""SELECT p.id, list_filter([p.chosen_index, p.rejected_index, 9], lambda x: NOT list_contains(list_transform(r.scores, lambda s: s."index"), x)) AS missing FROM {T.PAIRS} p JOIN {T.RANKED} r ON r.id = p.id
+  WHERE r.scores IS NOT NULL AND p.chosen_index <> p.rejected_index""")
+def missing_scores(spark, d):
+    t = T.pairs(spark, d).join(T.ranked(spark, d).select("id", "scores"), "id").filter("scores is not null and chosen_index != rejected_index")
+    wanted = F.array("chosen_index", "rejected_index", F.lit(9))
+    return t.select("id", preference.missing_scores(wanted, F.col("scores")).alias("missing"))
+
+
+_GENERIC = _list(_PACK.generic_topics)
+
+
+@query(f"""WITH k AS (SELECT *, {_TOPICS} AS t FROM {T.CLUSTERED}), f AS (SELECT cluster_id, arg_min(t, id) AS first FROM k GROUP BY 1)
+  SELECT id, list_has_any(t, first) OR (len(list_filter(t, lambda x: x NOT IN ({_GENERIC}))) = 0 AND len(list_filter(first, lambda x: x NOT IN ({_GENERIC}))) = 0) AS compatible FROM k JOIN f USING (cluster_id)""")
+def topic_compatibility(spark, d):
+    """Whether each question fits the first one of its cluster."""
+    t = T.clustered(spark, d).withColumn("t", rules.question_topics(F.col("question"))).select("cluster_id", "id", "t")
+    first = t.groupBy("cluster_id").agg(F.min_by("t", "id").alias("first"))
+    return t.join(first, "cluster_id").select("id", rules.topics_compatible(F.col("t"), F.col("first")).alias("compatible"))
+
+
+@query("""SELECT step, click, purchase FROM (SELECT ts AS step, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'purchase' THEN value END) AS purchase FROM events GROUP BY 1)
+  WHERE click IS NOT NULL OR purchase IS NOT NULL""")
+def wide_metrics(spark, d):
+    e = T.read(spark, d, "events").groupBy(F.col("ts").alias("step")).agg(*[F.max(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in ("click", "purchase")])
+    log = e.select("step", F.create_map(F.lit("click"), "click", F.lit("purchase"), "purchase").alias("v"))
+    return judge.wide_log(log, "step", "v", ["click", "purchase"])
+
+
+@query(f"""SELECT p.id, p.chosen AS answer, coalesce(r.scores IS NOT NULL, false) AS ranked FROM {T.PAIRS} p LEFT JOIN {T.RANKED} r ON r.id = p.id""")
+def pairs_with_rankings(spark, d):
+    t = T.pairs(spark, d).join(T.ranked(spark, d).select("id", F.col("scores").isNotNull().alias("r")), "id", "left")
+    return t.select("id", F.col("chosen").alias("answer"), F.coalesce("r", F.lit(False)).alias("ranked"))
+
+
+@query(f"""SELECT id, turns, multi FROM (SELECT c.id, len(v.conversations) // 2 AS turns, v.conversations IS NOT NULL AS multi FROM {T.CONVERSATIONS} c
+  LEFT JOIN (SELECT replace(id, 'csv_', 'cst_') AS id, any_value(conversations) AS conversations FROM sft_val WHERE conversations IS NOT NULL GROUP BY 1) v ON v.id = c.id)""")
+def dialogue_overlay(spark, d):
+    """Held-out dialogues laid over the training records of the same number."""
+    base = T.read(spark, d, "sft_train").select("id", "conversations").dropDuplicates(["id"])
+    v = T.read(spark, d, "sft_val").filter("conversations is not null").select(F.replace("id", F.lit("csv_"), F.lit("cst_")).alias("id"), records.to_messages(F.col("conversations")).alias("m")).dropDuplicates(["id"])
+    out = records.with_dialogue(base, v, "id", "m")
+    return out.select("id", F.col("augmentation_turns").cast("bigint").alias("turns"), F.col("augmented_multi_turn").alias("multi"))
+
+
+@query()
+def answer_hour_windows(spark, d):
+    """Per question type the window that its answers' time spans suggest, in whole hours."""
+    t = T.qa(spark, d).withColumn("kind", rules.question_type(rules.question_topics(F.col("question"))))
+    spans = t.select("kind", F.explode(rules.time_ranges(F.col("answer"))).alias("r")).select("kind", "r.lo", "r.hi")
+    low = F.percentile(F.when(F.col("lo") > 0, F.col("lo")), 0.15)
+    high = F.percentile(F.when(F.col("hi") > 0, F.col("hi")), 0.85)
+    w = spans.groupBy("kind").agg(F.count("*").alias("spans"), low.alias("lo"), high.alias("hi"))
+    return w.select("kind", "spans", families.rounded_hours(F.col("lo"), False).alias("from_hours"), families.rounded_hours(F.col("hi"), True).alias("to_hours"))
+
+
+@query()
+def hashed_vectors(spark, d):
+    """Offline sentence vectors of the distinct questions."""
+    t = T.qa(spark, d).groupBy("question").agg(F.min("idx").alias("idx"))
+    return external.embed(t, "idx", "question", external.HashEncoder).select("idx", F.size("vector").alias("size"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
