@@ -72,7 +72,7 @@ def _padded(c: Column, pattern: str, replacement: str) -> Column:
         replacement = replacement.replace(f"<{i}>", f"{_MARK}0${i}{_STOP}")
     c = F.regexp_replace(c, pattern, replacement)
     c = F.regexp_replace(c, f"{_MARK}0{_STOP}", "00")
-    c = F.regexp_replace(c, f"{_MARK}0(\\d\\d){_STOP}", "$1")
+    c = F.regexp_replace(c, f"(?U){_MARK}0(\\d\\d){_STOP}", "$1")
     return F.regexp_replace(c, f"[{_MARK}{_STOP}]", "")
 
 

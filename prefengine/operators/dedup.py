@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from prefengine.functions.text import low_value_answer, low_value_question
 from prefengine.plans.lineage import cut
@@ -61,6 +61,22 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def ratio_reaches(least: float):
+    """A function of two texts: whether their sequence ratio is at least ``least``, with the cheap upper bounds first."""
+    @F.pandas_udf(BooleanType())
+    def reaches(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x == y:
+                out.append(True)
+                continue
+            m = SequenceMatcher(None, x, y)
+            out.append(m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least)
+        return pd.Series(out, dtype=bool)
+
+    return reaches
+
+
 def prefix_pairs(text: Column, least: float) -> Column:
     """The character pairs of a text of which any text of its block with a sequence ratio >= least must have one.
 
@@ -84,7 +100,7 @@ def near_texts(texts: DataFrame, text: str, least: float) -> DataFrame:
     keyed = keyed.select("t", F.explode(block_keys(F.col("t"))).alias("k")).select("t", "k", F.explode(prefix_pairs(F.col("t"), least)).alias("p"))
     a, b = (keyed.select("k", "p", F.col("t").alias(x)) for x in ("ta", "tb"))
     near = a.join(b, ["k", "p"]).filter(ratio_bound(F.col("ta"), F.col("tb")) >= least).select("ta", "tb").distinct()
-    return near.filter(sequence_ratio("ta", "tb") >= least)
+    return near.filter(ratio_reaches(least)("ta", "tb"))
 
 
 def greedy_survivors(rows: DataFrame, edges: DataFrame, record: str, most: int = 50) -> DataFrame:
@@ -123,10 +139,10 @@ def fuzzy_dedup(df: DataFrame, record: str, question: str, answer: str, rank: li
     left = rows.select(F.col(record).alias("loser"), F.col(question).alias("ta"), F.col(answer).alias("aa"), F.col("_rank").alias("_ra"))
     right = rows.select(F.col(record).alias("winner"), F.col(question).alias("tb"), F.col(answer).alias("ab"), F.col("_rank").alias("_rb"))
     both = near_texts(df, question, q_least).join(left, "ta").join(right, "tb").filter(F.col("_ra") < F.col("_rb"))
-    bars = F.lit("||")
-    edges = both.filter(((ratio_bound(F.col("aa"), F.col("ab")) >= a_least) & (sequence_ratio("aa", "ab") >= a_least))
-                        | (sequence_ratio(F.concat("ta", bars, "aa"), F.concat("tb", bars, "ab")) >= pair_least))
-    return greedy_survivors(df, edges.select("loser", "winner"), record)
+    both = both.select("loser", "winner", "aa", "ab", F.concat("ta", F.lit("||"), "aa").alias("pa"), F.concat("tb", F.lit("||"), "ab").alias("pb"))
+    edges = cut(both.filter(((ratio_bound(F.col("aa"), F.col("ab")) >= a_least) & ratio_reaches(a_least)("aa", "ab"))
+                            | ((ratio_bound(F.col("pa"), F.col("pb")) >= pair_least) & ratio_reaches(pair_least)("pa", "pb"))).select("loser", "winner"))
+    return greedy_survivors(df, edges, record)
 
 
 def funnel(stages: dict[str, DataFrame]) -> DataFrame:

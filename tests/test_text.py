@@ -23,6 +23,10 @@ def test_clean_text(spark):
     assert values(spark, CLEAN, text.clean_text) == list(CLEAN.values())
 
 
+def test_spellings_with_wide_digits(spark):
+    assert values(spark, ["１２月３日", "２０２５-１２-３", "９：３０"], lambda c: text.colon_times(text.month_days(text.iso_dates(c)))) == ["１２-0３", "２０２５-１２-３", "0９:３０"]
+
+
 def test_titles_can_be_kept(spark):
     assert values(spark, ["《书名》好"], lambda c: text.clean_text(c, keep_titles=True)) == ["《书名》好"]
 
@@ -96,7 +100,7 @@ def test_stance(spark):
 
 
 @pytest.mark.parametrize("said, want", [("3-5天到", [(72.0, 120.0)]), ("48小时内发货", [(0.0, 48.0)]), ("2个工作日左右", [(48.0, 48.0)]), ("没有时间", []),
-                                        ("24小时,3至7个工作日以内", [(24.0, 24.0), (72.0, 168.0)])])
+                                        ("６天到", [(144.0, 144.0)]), ("٣天到", []), ("24小时,3至7个工作日以内", [(24.0, 24.0), (72.0, 168.0)])])
 def test_time_ranges(spark, said, want):
     assert [tuple(r) for r in values(spark, [said], rules.time_ranges)[0]] == want
 
