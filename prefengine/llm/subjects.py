@@ -123,28 +123,36 @@ class Evidence:
         return {k: best for k, here in scores.items() if here[best := max(here, key=here.__getitem__)] >= 0.9}, ends
 
 
-def learn_terms(texts: list[str], labels: list[set[int]], subjects: int, purity: float, least: int, max_terms: int) -> dict[str, tuple[int, float]]:
-    """The evidence: term -> (subject, weight)."""
-    number: dict[str, int] = {}
-    found, sizes, document = [], [], []
-    for k, text in enumerate(texts):
-        text = plain(text)
-        ends = sentence_ends(text)
-        for a, b in zip([0, *ends], ends):
-            ids = [number.setdefault(t, len(number)) for t in terms(text[a:b])]
-            found.append(np.array(ids, np.int32))
-            sizes.append(len(ids))
-            document.append(k)
-    if not found:
+class TermTable:
+    """The terms of every sentence of some texts, as numbers; made once for all that is learnt from them."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        found, sizes, document = [np.zeros(0, np.int32)], [], []
+        for k, text in enumerate(texts):
+            text = plain(text)
+            ends = sentence_ends(text)
+            for a, b in zip([0, *ends], ends):
+                ids = [number.setdefault(t, len(number)) for t in terms(text[a:b])]
+                found.append(np.array(ids, np.int32))
+                sizes.append(len(ids))
+                document.append(k)
+        self.number, self.texts, self.sentences = number, len(texts), len(sizes)
+        self.flat, self.of = np.concatenate(found), np.repeat(np.arange(len(sizes)), sizes)
+        self.document = np.array(document, np.int64)
+
+
+def learn_terms(table: TermTable, labels: list[set[int]], use: np.ndarray, subjects: int, purity: float, least: int, max_terms: int) -> dict[str, tuple[int, float]]:
+    """The evidence, term -> (subject, weight), from the texts that ``use`` marks."""
+    if not table.sentences:
         return {}
-    flat, of = np.concatenate(found), np.repeat(np.arange(len(sizes)), sizes)
-    found.clear()
-    document = np.array(document)
-    own = np.zeros((len(texts), subjects), bool)
+    number, flat, of, document = table.number, table.flat, table.of, table.document
+    sizes, mine_only = range(table.sentences), use[table.document]
+    own = np.zeros((table.texts, subjects), bool)
     for k, mine in enumerate(labels):
         own[k, list(mine)] = True
     single = np.array([next(iter(mine)) if len(mine) == 1 else subjects if not mine else -1 for mine in labels])
-    guess = single[document]  # the label that a sentence teaches, `subjects` for none, -1 for not known
+    guess = np.where(mine_only, single[document], -1)  # the label that a sentence teaches, `subjects` for none, -1 for not known
     names = list(number)
     weights: dict[str, tuple[int, float]] = {}
     for _ in range(2):
@@ -173,7 +181,7 @@ def learn_terms(texts: list[str], labels: list[set[int]], subjects: int, purity:
         np.add.at(score, (of[speaks], subject[flat[speaks]]), weight[flat[speaks]])
         score *= own[document]
         # a sentence without evidence teaches that its terms are no subject's
-        guess = np.where(score.max(axis=1) > 0, score.argmax(axis=1), subjects)
+        guess = np.where(mine_only, np.where(score.max(axis=1) > 0, score.argmax(axis=1), subjects), -1)
     return weights
 
 
@@ -233,9 +241,10 @@ def train(rows: list[tuple[str, str | None, set[str]]], purity: float = 0.75, le
     texts = [t for t, *_ in rows]
     m, folds = len(subjects), 2 if len(rows) >= 20 else 1
     x = np.zeros((len(rows), m, features(np.zeros(m), 0).shape[1]))
+    table, at_all = TermTable(texts), np.arange(len(rows))
     for f in range(folds):
-        mine = [i for i in range(len(rows)) if folds == 1 or i % folds != f]
-        evidence = Evidence(learn_terms([texts[i] for i in mine], [labels[i] for i in mine], m, purity, least, max_terms), m)
+        use = (at_all % folds != f) | (folds == 1)
+        evidence = Evidence(learn_terms(table, labels, use, m, purity, least, max_terms), m)
         for i in range(len(rows)):
             if folds == 1 or i % folds == f:
                 x[i] = features(*evidence.counts(texts[i]))
@@ -256,7 +265,7 @@ def train(rows: list[tuple[str, str | None, set[str]]], purity: float = 0.75, le
         prior = np.zeros(z.shape[1])
         prior[0] = 1.0
         chain[s] = logistic(z, y[:, s], prior, np.concatenate([[20.0], np.full(z.shape[1] - 1, 5.0)]))
-    return SubjectModel(subjects, sources, learn_terms(texts, labels, m, purity, least, max_terms), shared, chain)
+    return SubjectModel(subjects, sources, learn_terms(table, labels, at_all >= 0, m, purity, least, max_terms), shared, chain)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[str, str | None, set[str]]]:
