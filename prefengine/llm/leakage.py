@@ -36,8 +36,8 @@ class PassageIndex:
         self.items = [(i, t) for i, t in items if len(t) >= window]
         # Among any run of `promised` neighbouring q-grams a sampled one is met at this step. With e edits the lemma's
         # q-grams lie in at most e + 1 intact stretches, the longest of which has at least this many.
-        intact = -(-(window - edits) // (edits + 1))
-        self.step = max(1, intact - q + 1)
+        self.intact = -(-(window - edits) // (edits + 1))
+        self.step = max(1, self.intact - q + 1)
         self.index: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(self.items):
             for p in range(len(text) - q + 1):
@@ -63,7 +63,8 @@ class PassageIndex:
         for (k, _), seeds in bands.items():
             done = -1
             for at, p in seeds:
-                if at < done:
+                # within a region of so few edits one intact stretch is at least this long, and a seed lies in it
+                if at < done or self.edits and self._run(doc, at, k, p)[0] < self.intact:
                     continue
                 n, start, used = self._run(doc, at, k, p) if not self.edits else self._align(doc, at, k, p)
                 done = start + n - q + 1
@@ -170,4 +171,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest shared passage of each document and item, two edits allowed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_items.parquet"), edits=2, q=8)
+    return leaked_passages(docs, spark.read.parquet(f"{sf_dir}/eval_items.parquet"), edits=2, q=10)
