@@ -35,20 +35,28 @@ def unpack48(b: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def packed_parts(keys: np.ndarray, docs: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
-    """(part, 12 bytes for each key and text of the part), parts by the key's high bits."""
+def packed_parts(keys: np.ndarray, docs: np.ndarray, parts: int, more: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """(part, 12 bytes for each key and text of the part), parts by the key's high bits; ``more``: further bytes of each row."""
     part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    both = np.empty((len(keys), 12), np.uint8)
-    both[:, :6], both[:, 6:] = pack48(keys), pack48(docs)
-    both = both.view("V12").reshape(-1)[order]
+    width = 12 + (0 if more is None else more.shape[1])
+    both = np.empty((len(keys), width), np.uint8)
+    both[:, :6], both[:, 6:12] = pack48(keys), pack48(docs)
+    if more is not None:
+        both[:, 12:] = more
+    both = both.view(f"V{width}").reshape(-1)[order]
     return [(p, both[cuts[p]:cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
 
 
 def unpacked(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, 12)
-    return unpack48(rows[:, :6]), unpack48(rows[:, 6:])
+    return unpacked_more(chunks, 0)[:2]
+
+
+def unpacked_more(chunks: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, texts and the ``width`` further bytes of each row."""
+    rows = np.frombuffer(b"".join(chunks), np.uint8).reshape(-1, 12 + width)
+    return unpack48(rows[:, :6]), unpack48(rows[:, 6:12]), rows[:, 12:]
 
 
 def to_bytes(text: str) -> bytes:

@@ -2,12 +2,12 @@
 
 1. Each record's turns are joined and folded; of every window of ``window`` successive k-mer hashes the smallest is a
    fingerprint, so any common run of ``window + k - 1`` characters gives a common fingerprint (winnowing).
-2. Every ``chain`` successive fingerprints of a text are also hashed together: two texts that share such a key share
-   seeds that are collinear.  Both kinds of key travel packed, by key.
-3. A held-out text is compared with every training text that shares a fingerprint which at most ``rare`` training
-   texts have, or a chain, however many have it.  Fingerprints that more texts have are shop phrases: alone they say
-   nothing, and within a longer common run they are part of a chain.  A text of fewer than ``chain`` + 1 fingerprints
-   is compared by each of them, however frequent.
+2. Fingerprints travel packed, by fingerprint, each with its text's number of distinct trigrams and a parity sketch:
+   ``_BITS`` bits, each the parity of how many of the text's trigrams hash to it.
+3. A held-out text meets every training text that shares a fingerprint, however many have it.  Two texts of
+   S >= ``threshold`` differ in at most (1 - threshold) / (1 + threshold) of both texts' trigrams, and every bit in
+   which the sketches differ is caused by another differing trigram; so a pair with more such bits is dropped without
+   loss.  ``rare`` only chooses the way: fingerprints of more training texts are compared block by block.
 4. Candidates are verified on whole texts.  S >= ``threshold`` decides; of what is kept, the common fingerprints are
    chained where they are collinear, every seed of the chain is extended to its full common run, and the report gives
    the characters covered on either side.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked
+from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked_more
 from prefengine.llm._sketch import kmer_hashes, mix
 from prefengine.llm._text import trigrams
 
@@ -61,61 +61,122 @@ def winnow(texts: list[str], k: int, window: int) -> tuple[np.ndarray, np.ndarra
     return h[chosen], owner[chosen], place[chosen]
 
 
-_TRAIN, _RARE, _FREE = 0, 1, 2
-
-
-def _packed_keys(min_chars: int, k: int, window: int, chain: int, parts: int, held: bool):
-    """(part, kind, packed): a training text's keys, a held-out text's rare-only keys, and its keys without that bound."""
+_BITS = 192
+
+
+def distinct_trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram as a number, number of its text): each text's distinct trigrams."""
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = max(0, len(codes) - 2)
+    owner = np.repeat(np.arange(len(texts)), size)[:n]
+    inside = owner == np.repeat(np.arange(len(texts)), size)[2:]
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    letters = np.flatnonzero(used).astype(np.uint64)
+    bits = max(1, int(len(letters)).bit_length())
+    if 3 * bits + len(texts).bit_length() > 64:  # too many letters for one number: halves, down to single texts
+        if len(texts) == 1:
+            grams = np.unique(_gram(*(codes[i:n + i].astype(np.uint64) for i in range(3))))
+            return grams, np.zeros(len(grams), np.int64)
+        half = len(texts) // 2
+        (g, o), (h, p) = distinct_trigrams(texts[:half]), distinct_trigrams(texts[half:])
+        return np.concatenate([g, h]), np.concatenate([o, p + half])
+    rank = (np.cumsum(used) - 1).astype(np.uint64)[codes]
+    b = np.uint64(bits)
+    key = owner.astype(np.uint64)
+    for i in range(3):
+        key = key << b | rank[i:n + i]
+    key = np.sort(key[inside])
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    low = np.uint64((1 << bits) - 1)
+    return (_gram(letters[key >> b + b & low], letters[key >> b & low], letters[key & low]),
+            (key >> np.uint64(3 * bits)).astype(np.int64))
+
+
+def _gram(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return a << np.uint64(42) | b << np.uint64(21) | c
+
+
+def parity_sketches(texts: list[str]) -> np.ndarray:
+    """Of each text 4 bytes of its number of distinct trigrams and ``_BITS`` / 8 bytes of their parity sketch."""
+    grams, owner = distinct_trigrams(texts)
+    size = np.bincount(owner, minlength=len(texts)).astype("<u4")
+    bit = (mix(grams) % np.uint64(_BITS)).astype(np.int64)
+    odd = np.bincount(owner * _BITS + bit, minlength=len(texts) * _BITS).reshape(-1, _BITS) & 1
+    return np.concatenate([size.view(np.uint8).reshape(-1, 4), np.packbits(odd.astype(np.uint8), axis=1)], axis=1)
+
+
+def _packed_keys(min_chars: int, k: int, window: int, parts: int, held: bool):
+    """(part, held, packed): the fingerprints of each text, with the text's sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = list(dict.fromkeys(fold_batch(b, min_chars)[1]))
             if not texts:
                 continue
             h, owner, _ = winnow(texts, k, window)
-            chained, chain_owner = chains(h, owner, chain)
-            ids = text_hash(texts)
-            if held:
-                tiny = (np.bincount(owner, minlength=len(texts)) <= chain)[owner]
-                sets = ((_RARE, h[~tiny], owner[~tiny]),
-                        (_FREE, np.concatenate([h[tiny], chained]), np.concatenate([owner[tiny], chain_owner])))
-            else:
-                sets = ((_TRAIN, np.concatenate([h, chained]), np.concatenate([owner, chain_owner])),)
-            rows = [(part, kind, packed) for kind, keys, of in sets for part, packed in packed_parts(keys, ids[of], parts)]
+            rows = packed_parts(h, text_hash(texts)[owner], parts, parity_sketches(texts)[owner])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
-                names=["part", "kind", "packed"])
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([held] * len(rows), pa.bool_()),
+                 pa.array([r[1] for r in rows], pa.binary())], names=["part", "held", "packed"])
     return run
 
 
-def chains(h: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of its text) of every ``length`` successive fingerprints of a text."""
-    n = max(0, len(h) - length + 1)
-    key = np.full(n, np.uint64(length))
-    for i in range(length):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + h[i:n + i])
-    inside = owner[:n] == owner[length - 1:]
-    return key[inside], owner[:n][inside]
+def _side(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, texts, trigrams, sketches) by fingerprint."""
+    keys, docs, more = unpacked_more(chunks, 4 + _BITS // 8)
+    order = np.argsort(keys)
+    more = more[order]
+    size = np.ascontiguousarray(more[:, :4]).view("<u4").reshape(-1).astype(np.int64)
+    return keys[order], docs[order], size, np.ascontiguousarray(more[:, 4:]).view("<u8")
+
 
+def _near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether texts of a and b trigrams, with sketches x and y, can have S >= threshold."""
+    differ = np.bitwise_count(x[..., 0] ^ y[..., 0]).astype(np.int16)
+    for i in range(1, x.shape[-1]):
+        differ += np.bitwise_count(x[..., i] ^ y[..., i])
+    # the difference in size is one of trigrams, too
+    most = (a + b) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (differ <= most) & (np.abs(a - b) <= most)
 
-def _same_key(rare: int):
-    """(v, t) for each held-out and training text that share a key."""
+
+def _same_key(rare: int, threshold: float):
+    """(v, t) for each held-out and training text that share a key and can have S >= threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: tuple[list[bytes], ...] = ([], [], [])
+        chunks: tuple[list[bytes], ...] = ([], [])
         for b in batches:
-            for kind, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                chunks[kind].append(packed)
-        known, texts = unpacked(chunks[_TRAIN])
-        order = np.argsort(known)
-        known, texts = known[order], texts[order]
-        v, t = [], []
-        for kind, most in ((_RARE, rare), (_FREE, len(known))):
-            keys, docs = unpacked(chunks[kind])
-            low = np.searchsorted(known, keys, "left")
-            count = np.searchsorted(known, keys, "right") - low
-            use = (count > 0) & (count <= most)
-            v.append(np.repeat(docs[use], count[use]))
-            t.append(texts[_spread(low[use], count[use])])
-        yield from _pairs(np.concatenate(v), np.concatenate(t))
+            for held, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                chunks[held].append(packed)
+        known, texts, size, sketch = _side(chunks[False])
+        keys, docs, held_size, held_sketch = _side(chunks[True])
+        low = np.searchsorted(known, keys, "left")
+        count = np.searchsorted(known, keys, "right") - low
+        found = [np.zeros((0, 2), np.int64)]
+        few = np.flatnonzero((count > 0) & (count <= rare))
+        for at in range(0, len(few), 50_000):
+            some = few[at:at + 50_000]
+            i, j = np.repeat(some, count[some]), _spread(low[some], count[some])
+            ok = _near(held_size[i], size[j], held_sketch[i], sketch[j], threshold)
+            found.append(np.stack([docs[i[ok]], texts[j[ok]]], 1).astype(np.int64))
+        many = np.flatnonzero(count > rare)
+        starts = many[np.concatenate([[True], keys[many[1:]] != keys[many[:-1]]])] if len(many) else many
+        waiting = 0
+        for s, e in zip(starts.tolist(), np.searchsorted(keys, keys[starts], "right").tolist(), strict=True):
+            first, last = int(low[s]), int(low[s] + count[s])
+            for at in range(first, last, 4_096):
+                t = slice(at, min(last, at + 4_096))
+                for start in range(s, e, 256):
+                    v = slice(start, min(e, start + 256))
+                    i, j = np.nonzero(_near(held_size[v, None], size[None, t], held_sketch[v, None], sketch[None, t], threshold))
+                    if len(i):
+                        found.append(np.stack([docs[v][i], texts[t][j]], 1).astype(np.int64))
+                        waiting += len(i)
+                if waiting > 2_000_000:  # a pair that shares several keys is kept once
+                    found, waiting = [_distinct(np.concatenate(found))], 0
+        yield from _pairs(np.concatenate(found))
     return run
 
 
@@ -124,12 +185,15 @@ def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
-def _pairs(v: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
-    both = np.stack([v, t], 1).astype(np.int64)
+def _distinct(both: np.ndarray) -> np.ndarray:
     both = both[np.lexsort((both[:, 1], both[:, 0]))]
     new = np.ones(len(both), bool)
     new[1:] = (both[1:] != both[:-1]).any(axis=1)
-    both = both[new]
+    return both[new]
+
+
+def _pairs(both: np.ndarray) -> Iterator[pa.RecordBatch]:
+    both = _distinct(both)
     for at in range(0, len(both), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(both[at:at + 50_000, i]) for i in (0, 1)], names=["v", "t"])
 
@@ -208,17 +272,17 @@ def conversation_text(turns: str = "conversations") -> Column:
 
 
 def split_overlaps(train: DataFrame, held: DataFrame, record: str, text: Column, threshold: float = 0.8,
-                   min_chars: int = 40, k: int = 8, window: int = 16, chain: int = 3, rare: int = 16) -> DataFrame:
+                   min_chars: int = 40, k: int = 8, window: int = 16, rare: int = 16) -> DataFrame:
     """(train_id, val_id, similarity, coverage_val, coverage_train) of all overlapping records of the two tables."""
     spark = train.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sources = [source_texts(x, record, text) for x in (train, held)]
     tables = [text_tables(x, min_chars) for x in sources]
     texts = [t for t, _ in tables]
-    keyed = [x.mapInArrow(_packed_keys(min_chars, k, window, chain, parts, held), "part int, kind int, packed binary")
+    keyed = [x.mapInArrow(_packed_keys(min_chars, k, window, parts, held), "part int, held boolean, packed binary")
              for x, held in zip(sources, (False, True), strict=True)]
     candidates = (keyed[0].unionByName(keyed[1]).repartition("part")
-                  .mapInArrow(_same_key(rare), "v bigint, t bigint").distinct())
+                  .mapInArrow(_same_key(rare, threshold), "v bigint, t bigint").distinct())
     links = (candidates.join(texts[1].select(F.col("doc").alias("v"), F.col("text").alias("text_v")), "v")
              .join(texts[0].select(F.col("doc").alias("t"), F.col("text").alias("text_t")), "t")
              .select("v", "t", "text_v", "text_t")

@@ -194,3 +194,37 @@ def test_overlap_counts(rows):
     held = rows([("v1", "test", "x"), ("v2", "val", "x"), ("v3", "val", "x")], "id string, split string, source string")
     got = {tuple(r) for r in splits.overlap_counts(links, train, held, "id", "split", "source").collect()}
     assert got == {("test", "x", "a", 1, 2, 0.75), ("val", "x", None, 1, 1, 1.0)}
+
+
+def _edited(rng, base, edits, letters):
+    t = list(base)
+    for p in rng.sample(range(len(t)), edits):
+        t[p] = rng.choice(letters)
+    return "".join(t)
+
+
+def test_frequent_fingerprints_lose_nothing(rows):
+    """Groups of more than 16 edited training texts: every pair that shares any fingerprint is found."""
+    rng = random.Random(12)
+    letters = [chr(0x4e00 + i) for i in range(2000)]
+    train, held = [], []
+    for n in (50, 60, 70, 80):
+        base = "".join(rng.choice(letters) for _ in range(n))
+        train += [_edited(rng, base, 2, letters) for _ in range(40)]
+        held += [_edited(rng, base, 3, letters) for _ in range(20)]
+    a, b = ([set(splits.winnow([t], 8, 16)[0].tolist()) for t in x] for x in (train, held))
+    want = {(i, j) for i, x in enumerate(train) for j, y in enumerate(held) if a[i] & b[j] and trigram_similarity(x, y) >= 0.7}
+    ids = [rows(list(enumerate(x)), "id bigint, text string").repartition(1) for x in (train, held)]
+    for rare in ({}, {"rare": 0}, {"rare": 10**6}):  # it only chooses the way
+        out = splits.split_overlaps(*ids, "id", F.col("text"), 0.7, **rare).collect()
+        assert {(r["train_id"], r["val_id"]) for r in out} == want and len(out) == len(want)
+
+
+def test_parity_sketches():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh天😀") for _ in range(rng.randint(3, 60))) for _ in range(40)] + ["", "ab"]
+    grams, owner = splits.distinct_trigrams(texts)
+    assert np.bincount(owner, minlength=len(texts)).tolist() == [len({t[i:i + 3] for i in range(len(t) - 2)}) for t in texts]
+    assert all((splits.parity_sketches([t]) == x).all() for t, x in zip(texts, splits.parity_sketches(texts)))
+    wide = ["".join(chr(0x20000 + i) for i in range(30_000)), "".join(chr(0xac00 + i) for i in range(9_000)), "一二三一二三"] * 3
+    assert [len(np.unique(x)) for x in (splits.distinct_trigrams(wide)[1],)] == [9] and (splits.parity_sketches(wide)[2] == splits.parity_sketches(["一二三一二三"])[0]).all()
