@@ -125,12 +125,15 @@ def _packed_keys(min_chars: int, k: int, window: int, parts: int, held: bool):
 
 
 def _side(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, texts, trigrams, sketches) by fingerprint."""
+    """(fingerprints, texts, trigrams, sketches) by fingerprint, each text once for a fingerprint."""
     keys, docs, more = unpacked_more(chunks, 4 + _BITS // 8)
-    order = np.argsort(keys)
-    more = more[order]
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])  # copies of a text meet here
+    more = more[order[new]]
     size = np.ascontiguousarray(more[:, :4]).view("<u4").reshape(-1).astype(np.int64)
-    return keys[order], docs[order], size, np.ascontiguousarray(more[:, 4:]).view("<u8")
+    return keys[new], docs[new], size, np.ascontiguousarray(more[:, 4:]).view("<u8")
 
 
 def _near(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:

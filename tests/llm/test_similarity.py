@@ -228,3 +228,22 @@ def test_parity_sketches():
     assert all((splits.parity_sketches([t]) == x).all() for t, x in zip(texts, splits.parity_sketches(texts)))
     wide = ["".join(chr(0x20000 + i) for i in range(30_000)), "".join(chr(0xac00 + i) for i in range(9_000)), "一二三一二三"] * 3
     assert [len(np.unique(x)) for x in (splits.distinct_trigrams(wide)[1],)] == [9] and (splits.parity_sketches(wide)[2] == splits.parity_sketches(["一二三一二三"])[0]).all()
+
+
+def test_a_copied_training_text_counts_once(rows):
+    """One training text under 60 ids in over 16 partitions, against an edited copy with a common fingerprint but no three in a row."""
+    rng = random.Random(5)
+    letters = [chr(0x4e00 + i) for i in range(2000)]
+    while True:
+        base = "".join(rng.choice(letters) for _ in range(70))
+        other = _edited(rng, base, 3, letters)
+        a, b = (splits.winnow([t], 8, 16)[0].tolist() for t in (base, other))
+        threes = [{tuple(x[i:i + 3]) for i in range(len(x) - 2)} for x in (a, b)]
+        if set(a) & set(b) and not threes[0] & threes[1] and min(len(a), len(b)) > 3 and trigram_similarity(base, other) >= 0.7:
+            break
+    train = rows([(i, base) for i in range(60)], "id bigint, text string").repartition(60, "id")
+    out = splits.split_overlaps(train, rows([(0, other)], "id bigint, text string"), "id", F.col("text"), 0.7).collect()
+    assert sorted(r["train_id"] for r in out) == list(range(60))
+    h, owner, _ = splits.winnow([base], 8, 16)
+    chunks = [x for _ in range(20) for _, x in packed_parts(h, splits.text_hash([base])[owner], 1, splits.parity_sketches([base])[owner])]
+    assert len(splits._side(chunks)[0]) == len(set(h.tolist()))
