@@ -70,6 +70,7 @@ def nearest(queries: DataFrame, rows: DataFrame, record: str, vector: str, k: in
             for rows_ in batches:
                 if not len(rows_) or not len(ids):
                     continue
+                rows_ = rows_.sort_values(record)  # so the stable sort below cuts equal scores by dst
                 score = unit @ _unit(rows_[vector]).T
                 other = rows_[record].to_numpy()
                 score[ids[:, None] == other[None, :]] = -2.0

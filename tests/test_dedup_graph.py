@@ -203,3 +203,9 @@ def test_ranks_without_one_task(rows):
     last = max(running_total(df, order, F.col("v"), "n").collect(), key=lambda r: (r["v"], r["i"]))
     assert last["n"] == sum(v for *_, v in data)
     assert group_rank(df.limit(0), "g", order, "n").count() == 0 and global_rank(df.limit(0), order, "n").count() == 0
+
+
+def test_nearest_cuts_equal_scores_by_dst(rows):
+    df = rows([(i, [1.0, 0.0]) for i in range(40, 0, -1)], "i bigint, v array<double>").coalesce(1)
+    got = graph.nearest(df.filter("i = 40"), df, "i", "v", 3, -1.0).collect()
+    assert sorted(r["dst"] for r in got) == [1, 2, 3]
