@@ -7,7 +7,8 @@ Every side of a pair is read once and gets at most one defect, the first that ap
 ``refusal``          a refusal grammar (who, cannot, which act of answering) derives a sentence of the answer
 ``other_language``   script counts, and function words among Latin-script languages, name another language than the
                      question's, which the question does not ask for
-``truncated``        a pushdown parser over fences, brackets, quotations, lists and mark-up does not end in a final state
+``truncated``        a pushdown parser over brackets and quotations does not end in a final state, or patterns find an open
+                     fence or an unfinished list; mark-up is taken out first
 
 Defined results: a null or empty ``chosen``/``rejected`` array, a null message and null contents are ``empty``; a null
 or empty prompt has no question, so only ``empty``, ``refusal`` and ``truncated`` can apply; the answer is the last
