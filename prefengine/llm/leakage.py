@@ -3,8 +3,8 @@
 A passage of ``window`` folded characters that occurs in a document with at most ``edits`` edits shares at least
 ``window + 1 - q * (edits + 1)`` of its q-grams with the region, all on diagonals at most ``edits`` apart (the q-gram
 lemma).  Only every ``step``-th q-gram of a document is looked up, with ``step`` chosen so that at least one of those
-that the lemma promises is always among them; the hits are counted in overlapping diagonal bands, a band that stays
-below its bound is dropped, and each kept region is verified by a banded alignment.  With ``edits=0`` the band is one
+that the lemma promises is always among them.  At this step the bound of a band is one hit, so hits are grouped in
+overlapping diagonal bands but no band is dropped by its count, and each region is verified by a banded alignment.  With ``edits=0`` the band is one
 diagonal and the alignment is the exact extension of a run.
 
 The items are indexed on every executor only if their folded text has at most ``max_index_chars`` characters, which
