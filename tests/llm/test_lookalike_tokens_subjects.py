@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,20 +22,42 @@ def test_look_alikes(rows):
     assert lookalike.look_alikes(df.limit(0), "idx", ["q", "a"]).count() == 0
 
 
-def test_canonical_spelling_does_not_decide_equality(rows):
-    trie = lookalike._trie(("Kösta", "好的"))
-    empty = lookalike._trie(())
-    for x in ("Κösta", "Kosta", "好的", "好 的", "Ｋöｓｔａ,好的", "⼤⽉", "́x"):
-        assert lookalike._normal(x, trie) == lookalike._normal(x, empty)
-    assert lookalike.SpellingTrie(["Kösta"]).match("Κös​ta") == "Kösta" and lookalike.SpellingTrie(["Kösta"]).match("Kosta") is None
-    assert lookalike._normal("x" * 100_000, trie) == "x" * 100_000
+def normal(text, trie):
+    return lookalike.one_spelling(pa.array([text], pa.string()), trie).to_pylist()[0]
+
+
+def test_the_automaton_picks_the_spelling(rows):
+    """Emptying the trie changes what comes out: the table alone has another spelling."""
+    trie, empty = lookalike.SpellingTrie(["（黑）款", "Kösta", "好的"]), lookalike.SpellingTrie([])
+    assert normal("(黑)款 Κösta", trie) == "（黑）款 Kösta" and normal("(黑)款 Κösta", empty) == "(黑)款 Kösta"
+    assert normal("Kosta", trie) == "Kosta" and normal("x" * 100_000, trie) == "x" * 100_000 and normal(None, trie) is None
+    df = rows([(i, "（黑）款 a", "b") for i in range(5)] + [(9, "(黑)款 a", "b")], "idx bigint, q string, a string")
+    assert {r["q"] for r in lookalike.one_form(df, ["q"]).collect()} == {"（黑）款 a"}
+    assert {r["q"] for r in lookalike.one_form(df, ["q"], most=0).collect()} == {"(黑)款 a"}
+
+
+def test_the_vocabulary_does_not_decide_equality():
+    some = ["Kösta", "Κösta", "Kosta", "Ｋöｓｔａ", "K\u200bösta", "好的", "好\ufe0f的", "(a)", "（a）", "（а）", "é\u0323", "ẹ\u0301", "e\u0301\u0323", "①", "1", "́x", "⼤⽉", "大月", "ﾊﾟ", "パ"]
+    plain = lookalike.SpellingTrie([])
+    for words in (["Kösta", "（a）"], ["Ｋöｓｔａ", "Kosta", "大月"], ["é\u0323", "パ"], some):
+        trie = lookalike.SpellingTrie(words)
+        for x in some:
+            for y in some:
+                assert (normal(x, trie) == normal(y, trie)) == (normal(x, plain) == normal(y, plain)), (words, x, y)
+
+
+def test_costs_of_the_automaton():
+    trie = lookalike.SpellingTrie(["kösta", "kosta", "costa"])
+    assert trie.match("kоsta") == "kosta" and trie.match("kasta") is None and trie.match("kasta", 1.0) == "kosta"
+    assert trie.match("kost", 1.0) == "kosta" and trie.match("xcosta", 1.0) == "costa" and trie.match("xcost", 1.0) is None and trie.match("xcost", 2.0) == "costa"
+    assert trie.match("k\u200bo\u0308sta") == "kösta" and trie.match("ko\u0308st", 1.0) == "kösta" and lookalike.SpellingTrie([]).match("a", 1.0) is None
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aＡАö①¹⼤大​ 　，,。｡", max_size=12))
+@given(st.text(alphabet="aＡАö①¹⼤大\u200b \u3000，,。｡\u0301", max_size=12))
 def test_one_form_is_stable(t):
-    once = lookalike._normal(t, lookalike._trie(()))
-    assert lookalike._normal(once, lookalike._trie(())) == once
+    once = normal(t, lookalike.SpellingTrie([]))
+    assert normal(once, lookalike.SpellingTrie([])) == once
 
 
 @pytest.fixture(scope="module")
