@@ -39,6 +39,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters of other scripts that look like a Latin letter in common type, each with its twin.
 TWINS = {
@@ -102,11 +103,18 @@ class Sight:
         self.twins: dict[str, list[str]] = {}
         for x in sorted(letters):
             self.twins.setdefault(seen_as(x), []).append(x)
+        #: What a character becomes at cost 0: vocabulary characters, or nothing at all (None).
+        self.free: dict[str, list[str] | None] = {}
 
     def alike(self, c: str) -> list[str]:
         """The vocabulary's characters that c is substituted by at cost 0."""
         return self.twins.get(seen_as(c), [])
 
+    def freely(self, c: str) -> list[str] | None:
+        if c not in self.free:
+            self.free[c] = self.alike(c) if seen_as(c) else None
+        return self.free[c]
+
     @staticmethod
     def gap(c: str) -> float:
         """The cost of deleting or inserting c."""
@@ -136,9 +144,27 @@ class SpellingTrie:
             if self.word[node] < 0:
                 self.word[node] = rank
         self.sight = Sight({c for kids in self.kids for c in kids})
+        #: The words' own canonical spellings, and later those of other tokens: remembered only, results do not depend on it.
+        self.known = {word: self._free_match(word) for word in words}
+
+    def _free_match(self, token: str) -> str | None:
+        """``match`` at budget 0, where every state costs 0."""
+        kids, free, freely = self.kids, self.sight.free, self.sight.freely
+        nodes = [0]
+        for c in unicodedata.normalize("NFD", token):
+            alike = free[c] if c in free else freely(c)
+            if alike is None:
+                continue
+            nodes = [child for node in nodes for x in alike if (child := kids[node].get(x)) is not None]
+            if not nodes:
+                return None
+        ends = [self.word[node] for node in nodes if self.word[node] >= 0]
+        return self.words[min(ends)] if ends else None
 
     def match(self, token: str, budget: float = 0.0) -> str | None:
         """The vocabulary word that the token reaches at least cost, of equals the most frequent; None beyond ``budget``."""
+        if budget < VISIBLE:
+            return self._free_match(token)
         sight, kids = self.sight, self.kids
         states = self._inserted({0: 0.0}, budget)
         for c in unicodedata.normalize("NFD", token):
@@ -159,8 +185,6 @@ class SpellingTrie:
 
     def _inserted(self, states: dict[int, float], budget: float) -> dict[int, float]:
         """The states with those that insertions of vocabulary characters reach; vocabulary words hold no ignorables."""
-        if budget < VISIBLE:
-            return states
         open_ = sorted(states.items(), key=lambda s: s[1])
         for node, cost in open_:
             for x, child in self.kids[node].items():
@@ -172,6 +196,15 @@ class SpellingTrie:
 
     def canonical(self, token: str) -> str:
         """The canonical spelling of a token: a vocabulary word, else the table's form."""
+        found = self.known.get(token)
+        if found is not None:
+            return found
+        found = self._looked_up(token)
+        if len(self.known) < 200_000 and len(token) <= 64:
+            self.known[token] = found
+        return found
+
+    def _looked_up(self, token: str) -> str:
         if token in _MARKS or not token:
             return table_form(token)
         found = self.match(token)
@@ -276,7 +309,9 @@ def look_alikes(df: DataFrame, record: str, columns: list[str]) -> DataFrame:
             raw = b.columns[1:]
             yield pa.RecordBatch.from_arrays([b.column(0), _digests(raw), _digests([one_spelling(c, trie) for c in raw])], names=["r", "_raw", "_seen"])
 
-    same = rows.mapInArrow(run, f"r {rows.schema['r'].dataType.simpleString()}, _raw binary, _seen binary")
+    # not null, so that no null check parts the exchange below from its reuse
+    kinds = T.StructType([T.StructField("r", rows.schema["r"].dataType, False), T.StructField("_raw", T.BinaryType(), False), T.StructField("_seen", T.BinaryType(), False)])
+    same = rows.mapInArrow(run, kinds)
     # one exchange, balanced by record, is reused by all that follows, so texts are normalised once
     same = same.repartition(F.col("_seen"), F.col("r")).distinct()
     # a look has pairs only where it has two spellings; copies of one spelling are never paired with each other
