@@ -160,13 +160,32 @@ def test_leaks_against_brute_force(rows, edits):
         assert all(r["edits"] <= 2 for r in got)
 
 
-def test_leaks_in_blocks_and_of_nothing(rows):
-    items = rows([(i, "".join(chr(0x4e00 + 100 * i + j) for j in range(60))) for i in range(5)], "item_id bigint, text string")
-    docs = items.selectExpr("item_id as doc_id", "text")
-    one = set(map(tuple, leakage.leaked_passages(docs, items).select("doc_id", "item_id").collect()))
-    many = set(map(tuple, leakage.leaked_passages(docs, items, max_index_chars=120).select("doc_id", "item_id").collect()))
-    assert one == many == {(i, i) for i in range(5)}
-    assert leakage.leaked_passages(docs.limit(0), items).count() == 0 and leakage.leaked_passages(docs, items.limit(0)).count() == 0
+@pytest.mark.parametrize("edits, q", [(0, 16), (2, 8)])
+def test_leaks_by_joins_equal_those_by_index(rows, edits, q):
+    rng = random.Random(7)
+    alphabet = "abcdefgh天地玄黄"
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    items = [(i, text(rng.choice([30, 40, 60, 90]))) for i in range(12)]
+    items += [(50, items[3][1]), (None, items[3][1])]
+    docs = [(d, text(rng.randint(0, 60)) + _edited(rng, items[d % 12][1], rng.randint(0, 2), "Z") + text(9), 1) for d in range(40)] + [(None, items[3][1], 1), (60, None, 1), (61, "", 1)]
+    d, i = rows(docs, "doc_id bigint, text string, item int"), rows(items, "item_id bigint, text string")
+    one, joined = (sorted(map(tuple, leakage.leaked_passages(d, i, edits=edits, q=q, max_index_chars=n, filter_bits=1 << 16).collect())) for n in (10**6, 0))
+    assert one == joined and one and all(r[0] is not None and r[1] is not None for r in one)
+    assert leakage.leaked_passages(d.limit(0), i).count() == 0 and leakage.leaked_passages(d, i.limit(0)).count() == 0
+
+
+def test_the_band_count_decides_what_is_aligned(monkeypatch):
+    """Without the lemma's count every chance hit would be aligned."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    items, doc = [(0, text(400))], text(4000)
+    tries = []
+    monkeypatch.setattr(leakage, "aligned", lambda *x, f=leakage.aligned: tries.append(x) or f(*x))
+    lemma = leakage.Lemma(40, 2, 8)
+    assert (lemma.step, lemma.bound) == (3, 4) and leakage.Lemma(40, 0, 16).bound == 3
+    found = leakage.PassageIndex(items, lemma).search(doc)
+    some, lemma.bound = len(tries), 1
+    assert leakage.PassageIndex(items, lemma).search(doc) == found and len(tries) > 3 * some
 
 
 def test_groups(rows):
