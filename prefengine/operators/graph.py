@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prefengine.plans.lineage import cut
+from prefengine.plans.lineage import written
 from prefengine.plans.ordering import global_rank
 
 
@@ -25,7 +25,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, most: in
     Both steps keep a star per node, so the number of edges never grows and a component of a third of all rows is no
     single task's load: the groups only need a minimum, found by partial aggregation.
     """
-    now = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b").distinct())
+    now = written(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b").distinct())
     for _ in range(most):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -34,7 +34,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, most: in
         down = large.groupBy("x").agg(F.min("m").alias("m2"))  # smaller neighbours and oneself to their minimum
         small = large.join(down, "x").select(F.explode(F.array(F.struct(F.col("x").alias("b"), F.col("m2").alias("a")),
                                                                F.struct(F.col("m").alias("b"), F.col("m2").alias("a")))).alias("e"))
-        then = cut(small.select("e.a", "e.b").filter("a != b").distinct())
+        then = written(small.select("e.a", "e.b").filter("a != b").distinct())
         same = (then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
                 == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         now = then

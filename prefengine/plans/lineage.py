@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only without one (as in tests) a folder of our own is set."""
+    """The shared folder that the cluster names; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="prefengine-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
@@ -23,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for loops: its estimated size is that of its files.
+
+    A checkpoint carries on the estimate of its plan, and in a loop that joins a table with itself that grows without end.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
