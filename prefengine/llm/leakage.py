@@ -105,7 +105,7 @@ class PassageIndex:
                     continue
                 found = tried.get((k, at, p))
                 if found is None:
-                    found = tried[k, at, p] = aligned(doc, self.items[k][1], at, p, q, lemma.edits)
+                    found = tried[k, at, p] = aligned(doc, self.items[k][1], at, p, q, lemma.edits, lemma.window)
                 n, start, used = found
                 done = start + n - q + 1
                 if n >= lemma.window and (k not in best or (n, -used) > (best[k][0], -best[k][2])):
@@ -113,13 +113,18 @@ class PassageIndex:
         return [(self.items[k][0], n, start, used) for k, (n, start, used) in best.items()]
 
 
-def aligned(doc: str, item: str, at: int, p: int, q: int, edits: int) -> tuple[int, int, int]:
-    """(length, start, edits) of the longest region through a seed within the budget, in a band of ``edits`` diagonals."""
+def aligned(doc: str, item: str, at: int, p: int, q: int, edits: int, least: int = 0) -> tuple[int, int, int]:
+    """(length, start, edits) of the longest region through a seed within the budget, in a band of ``edits`` diagonals.
+
+    Where the side read first leaves no room for a region of ``least`` characters, the other one is not read.
+    """
     if not edits:
         back = _common(doc[:at][:-p - 1:-1], item[:p][::-1], 0, 0)
         return back + q + _common(doc, item, at + q, p + q), at - back, 0
-    right = _reach(doc[at + q:at + q + len(item) + edits], item[p + q:], edits)
-    left = _reach(doc[max(0, at - len(item) - edits):at][::-1], item[:p][::-1], edits)
+    right = _reach(doc[at + q:at + len(item) - p + edits], item[p + q:], edits)
+    if right[edits] + q + min(at, p + edits) < least:
+        return right[edits] + q, at, edits
+    left = _reach(doc[max(0, at - p - edits):at][::-1], item[:p][::-1], edits)
     n, lost, back = max((left[x] + right[y] + q, -(x + y), left[x]) for x in range(edits + 1) for y in range(edits + 1 - x))
     return n, at - back, -lost
 

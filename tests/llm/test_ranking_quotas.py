@@ -52,11 +52,47 @@ def test_bad_scores(rows):
     assert ranking.combined_scores(table(rows, []), "s", "i", SCORES).count() == 0
 
 
-def test_raking_meets_both_margins():
-    t = np.array([[10.0, 30.0], [40.0, 20.0]])
-    r = quotas.rake(t, np.array([0.7, 0.3]), np.array([0.5, 0.5]))
-    assert np.allclose(r.sum(axis=1), [0.7, 0.3], atol=1e-6) and np.allclose(r.sum(axis=0), [0.5, 0.5], atol=1e-6)
-    assert quotas.rake(np.zeros((2, 2)), np.ones(2), np.ones(2)).sum() == 0
+def test_raking_meets_all_margins():
+    n, at = np.array([10.0, 30, 40, 20, 5]), [np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 1, 1]), np.array([0, 1, 1, 0, 1])]
+    aims = [np.array([0.7, 0.3]), np.array([0.5, 0.5]), np.array([0.4, 0.6])]
+    r = quotas.rake(n, at, aims)
+    assert all(np.allclose(np.bincount(p, r, 2), t, atol=1e-6) for p, t in zip(at, aims))
+    assert quotas.rake(np.zeros(2), [np.array([0, 1])], [np.ones(2)]).sum() == 0
+
+
+def test_quotas_never_exceed_the_sample():
+    assert quotas.quotas(np.array([0.9, 0.1]), np.array([0, 50.0]), np.array([1000, 1000]), 100).tolist() == [50, 50]
+    assert quotas.quotas(np.array([0.5, 0.5]), np.array([80.0, 40]), np.array([1000, 1000]), 60).tolist() == [40, 20]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        k = rng.integers(1, 8)
+        share, least, supply, rows = rng.dirichlet(np.ones(k)), rng.integers(0, 9, k).astype(float), rng.integers(0, 60, k), int(rng.integers(0, 120))
+        q, low = quotas.quotas(share, least, supply, rows), np.minimum(least, supply)
+        assert (q <= supply).all() and (q >= 0).all() and q.sum() == min(rows, supply.sum())
+        assert low.sum() > rows or (q >= low).all()
+
+
+def test_the_raked_weights_decide_what_is_drawn(rows, monkeypatch):
+    """Half the category comes from each source, as in the corpus; without raking it comes as the category has them."""
+    r = rows([(f"a{i}", "a", "s" if i % 10 else "t") for i in range(4000)] + [(f"b{i}", "b", "t" if i % 10 else "s") for i in range(4000)], "id string, kind string, source string")
+    targets = rows([("p", "a", 0.9, 0), ("p", "b", 0.1, 0)], "plan string, category string, target_share double, min_rows bigint")
+
+    def share(**how):
+        sample, _ = quotas.quota_sample(r, "id", F.col("kind"), [F.col("source")], targets, rows([("p", 500)], "plan string, sample_rows bigint"), **how)
+        n = {x["source"]: x["count"] for x in sample.join(r, sample["record"] == r["id"]).groupBy("source").count().collect()}
+        return n["t"] / sum(n.values())
+
+    fitted, far = share(), share(max_cells=1)
+    assert abs(fitted - 0.5) < 0.08 and abs(far - fitted) < 0.01
+    monkeypatch.setattr(quotas, "rake", lambda counts, *_: counts / counts.sum())
+    assert share() < 0.25
+
+
+def test_key_ranges_draw_the_smallest(rows):
+    known = rows([(f"r{i}", "a", "s") for i in range(3000)], "record string, category string, margin0 string")
+    w, q = rows([("p", "a", "s", 0.001)], "plan string, category string, margin0 string, weight double"), rows([("p", "a", 700)], "plan string, category string, quota bigint")
+    got = {buckets: {r["record"] for r in quotas._smallest_keys(known, ["margin0"], w, q, 7, buckets).collect()} for buckets in (1, 64, 4096)}
+    assert len(got[1]) == 700 and got[1] == got[64] == got[4096]
 
 
 def test_quotas_repair_minimums_and_use_supply():
@@ -74,24 +110,24 @@ def records(rows, n=300):
 def test_sample_and_report(rows):
     targets = rows([("p", "a", 0.5, 1), ("p", "B ", 0.5, 0), ("p", "zz", 0.0, 2), ("q", "a", 1.0, 0)], "plan string, category string, target_share double, min_rows bigint")
     plans = rows([("p", 40), ("q", 500), ("none", 3)], "plan string, sample_rows bigint")
-    sample, report = quotas.quota_sample(records(rows), "id", F.col("kind"), F.col("source"), targets, plans)
+    sample, report = quotas.quota_sample(records(rows), "id", F.col("kind"), [F.col("source")], targets, plans)
     n = {(r["plan"], r["category"]): r["count"] for r in sample.groupBy("plan", "category").count().collect()}
     assert n == {("p", "a"): 20, ("p", "b"): 20, ("q", "a"): 180}
     assert sample.select("plan", "record").distinct().count() == sample.count()
     got = {(r["plan"], r["name"]): (r["supply"], r["drawn"], float(r["gap"])) for r in report.collect()}
     assert got == {("p", "a"): (180, 20, 0), ("p", "B "): (90, 20, 0), ("p", "zz"): (0, 0, 2), ("q", "a"): (180, 180, 320)}
-    again, _ = quotas.quota_sample(records(rows), "id", F.col("kind"), F.col("source"), targets, plans)
+    again, _ = quotas.quota_sample(records(rows), "id", F.col("kind"), [F.col("source")], targets, plans)
     assert set(map(tuple, again.collect())) == set(map(tuple, sample.collect()))
 
 
 def test_no_records(rows):
     targets = rows([("p", "a", 0.5, 1)], "plan string, category string, target_share double, min_rows bigint")
-    sample, report = quotas.quota_sample(records(rows).limit(0), "id", F.col("kind"), F.col("source"), targets, rows([("p", 4)], "plan string, sample_rows bigint"))
+    sample, report = quotas.quota_sample(records(rows).limit(0), "id", F.col("kind"), [F.col("source")], targets, rows([("p", 4)], "plan string, sample_rows bigint"))
     assert sample.count() == 0 and report.first()["supply"] == 0
 
 
 def test_exact_products(rows):
     r = rows([(f"r{i}", "a", "s") for i in range(28)], "id string, kind string, source string")
     targets = rows([("p", "a", 0.07, 0)], "plan string, category string, target_share double, min_rows bigint")
-    _, report = quotas.quota_sample(r, "id", F.col("kind"), F.col("source"), targets, rows([("p", 400)], "plan string, sample_rows bigint"))
+    _, report = quotas.quota_sample(r, "id", F.col("kind"), [F.col("source")], targets, rows([("p", 400)], "plan string, sample_rows bigint"))
     assert float(report.first()["needed"]) == 28.0
