@@ -1,13 +1,14 @@
 """Near-duplicate records with small edits (problem 5): order min-hash, then verification.
 
 1. The compared columns are joined without a separator and folded; shorter texts than ``min_chars`` take no part.
-   A text is identified by a 64-bit hash of its folded form, so exact copies are one text from here on.
+   Exact copies of a folded form are one text from here on.
 2. Every text gets ``sketches`` order min-hash keys (see ``_sketch``): each hashes a few occurrence-labelled k-mers, the
    first ``ordered`` of them in text order.  Moved blocks break that order, so the others leave it out.  Keys and text
    ids travel as packed arrays, one row per block and target partition, since a row per key would cost many times its
    12 bytes.
 3. Texts with an equal key are candidates.  A key shared by more than ``hot`` texts is not paired off: its texts go
-   through an exact prefix-filter join on their trigrams instead, so no candidate of such a key is lost.
+   through an exact prefix-filter join on their rarest trigrams instead, so no candidate of such a key is lost.  Keys
+   that a sample shows to have more than ``split`` texts take that way without ever meeting in one task.
 4. Candidates are verified on whole texts: ``verify="trigrams"`` keeps S >= threshold exactly; ``verify="alignment"``
    keeps those whose banded alignment needs at most ``(1 - threshold)`` edits per character, and reports the edits.
 
@@ -28,28 +29,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked
-from prefengine.llm._sketch import mix, order_sketches
+from prefengine.llm._packed import ID_BITS, fold_batch, frequent, packed_parts, prefix_keys, source_texts, text_hash, text_tables, to_text, unpacked, within
+from prefengine.llm._sketch import order_sketches
 from prefengine.llm._text import trigrams
 from prefengine.operators.graph import connected_components
-from prefengine.plans.lineage import cut
+from prefengine.plans.lineage import written
 
-def _packed_keys(min_chars: int, k: int, length: int, sketches: int, bottom: int, ordered: int, parts: int):
+
+def _packed_keys(min_chars: int, how: tuple, parts: int, hot_keys: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = list(dict.fromkeys(fold_batch(b, min_chars)[1]))
             if not texts:
                 continue
-            keys = order_sketches(texts, k, length, sketches, bottom, ordered).reshape(-1)
-            rows = packed_parts(keys, np.repeat(text_hash(texts), sketches), parts)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
-                                              pa.array([r[1] for r in rows], pa.binary())], names=["part", "packed"])
+            keys = order_sketches(texts, *how)
+            docs = np.repeat(text_hash(texts, bits), keys.shape[1])
+            keys = keys.reshape(-1)
+            apart = within(keys, hot_keys)
+            rows = [(*r, False) for r in packed_parts(keys[~apart], docs[~apart], parts)]
+            rows += [(*r, True) for r in packed_parts(keys[apart], docs[apart], parts, by=docs[apart])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                                              pa.array([r[2] for r in rows], pa.bool_())], names=["part", "packed", "apart"])
     return run
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, texts, starts, sizes) of the keys that several texts of a partition share, each text once for a key."""
-    chunks = [x for b in batches for x in b.column(1).to_pylist()]
+    chunks = [x for b in batches for x, apart in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if not apart]
     keys, docs = unpacked(chunks)
     chunks.clear()
     order = np.argsort(keys)
@@ -90,9 +96,15 @@ def _same_key(hot: int):
 
 
 def _crowded(hot: int):
-    """(key, doc) of the keys of more than ``hot`` texts."""
+    """(key, doc) of the keys of more than ``hot`` texts, and of those kept apart before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, starts, sizes = _by_key(batches)
+        kept = []
+        for b in batches:
+            kept.append(b)
+            for packed, apart in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if apart:
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in unpacked([packed])], names=["key", "doc"])
+        keys, docs, starts, sizes = _by_key(iter(kept))
         for s, n in zip(starts[sizes > hot].tolist(), sizes[sizes > hot].tolist(), strict=True):
             for at in range(s, s + n, 50_000):
                 end = min(s + n, at + 50_000)
@@ -101,27 +113,6 @@ def _crowded(hot: int):
     return run
 
 
-def _prefix_keys(threshold: float):
-    """(key and prefix trigram hashed, doc): texts of one hot key with S >= threshold share one of these."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hots, docs = [], []
-            for key, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                grams = np.array([hash3(g) for g in trigrams(to_text(text))], np.uint64)
-                grams = np.sort(mix(grams))
-                n = len(grams)
-                grams = grams[:n - int(np.ceil(threshold * n - 1e-9)) + 1]
-                hots.append(mix(grams ^ mix(np.array([key], np.int64).view(np.uint64))))
-                docs.append(np.full(len(grams), doc, np.int64))
-            if hots:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hots).view(np.int64)),
-                                                  pa.array(np.concatenate(docs))], names=["key", "doc"])
-
-    def hash3(g: str) -> int:
-        return ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
-    return run
-
-
 def banded_edits(a: str, b: str, most: int) -> int | None:
     """Edits that turn a into b, or None beyond ``most``: furthest-reaching points on the diagonals of a band."""
     if abs(len(a) - len(b)) > most:
@@ -150,8 +141,8 @@ def _verified(threshold: float, verify: str):
         last: bytes | None = None
         mine: set[str] = set()
         for b in batches:
-            left, right, score = [], [], []
-            for doc_a, doc_b, text_a, text_b in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            keep, score = [], []
+            for i, (text_a, text_b) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 if verify == "alignment":
                     x, y = map(to_text, (text_a, text_b))
                     n = max(len(x), len(y))
@@ -167,46 +158,46 @@ def _verified(threshold: float, verify: str):
                     common = len(mine & other)
                     s = common / (n + m - common)
                 if s >= threshold - 1e-12:
-                    left.append(doc_a)
-                    right.append(doc_b)
+                    keep.append(i)
                     score.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()),
-                                              pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(keep) for k in range(4)], pa.array(score, pa.float64())],
+                                             names=["a", "more_a", "b", "more_b", "similarity"])
     return run
 
 
 def similar_texts(texts: DataFrame, source: DataFrame, threshold: float = 0.8, min_chars: int = 40, k: int = 4,
-                  length: int = 4, sketches: int = 28, bottom: int = 64, ordered: int = 8, hot: int = 1024,
-                  verify: str = "trigrams") -> DataFrame:
-    """(a, b, similarity) of all different texts found similar; ``source`` has (record, text), ``texts`` (doc, text)."""
+                  length: int = 4, sketches: int = 28, bottom: int = 64, ordered: int = 8, hot: int = 1024, split: int = 200_000,
+                  verify: str = "trigrams", bits: int = ID_BITS) -> DataFrame:
+    """(a, more_a, b, more_b, similarity) of all different texts found similar; ``source`` has (record, text), ``texts`` (doc, more, text)."""
     spark = source.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = (source.mapInArrow(_packed_keys(min_chars, k, length, sketches, bottom, ordered, parts), "part int, packed binary")
-              .repartition("part"))
+    how = (k, length, sketches, bottom, ordered)
+    hot_keys, _, order = frequent(source, min_chars, lambda x: order_sketches(x, *how).reshape(-1), split)
+    packed = (source.mapInArrow(_packed_keys(min_chars, how, parts, hot_keys, bits), "part int, packed binary, apart boolean")
+              .repartitionById(parts, "part"))
     pairs = packed.mapInArrow(_same_key(hot), "a bigint, b bigint")
     crowded = packed.mapInArrow(_crowded(hot), "key bigint, doc bigint")
     prefix = (crowded.join(texts, "doc").select("key", "doc", "text")
-              .mapInArrow(_prefix_keys(threshold), "key bigint, doc bigint").distinct())
+              .mapInArrow(prefix_keys(threshold, order), "key bigint, doc bigint").distinct())
     more = (prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "key")
             .filter(F.col("a") < F.col("b")).select("a", "b"))
     candidates = pairs.unionByName(more).distinct()
-    return (candidates.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(_verified(threshold, verify), "a bigint, b bigint, similarity double"))
+    a, b = (texts.select(F.col("doc").alias(x), F.col("more").alias(f"more_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return (candidates.join(a, "a").join(b, "b").select("a", "more_a", "b", "more_b", "text_a", "text_b")
+            .mapInArrow(_verified(threshold, verify), "a bigint, more_a bigint, b bigint, more_b bigint, similarity double"))
 
 
 def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: float = 0.8, **how) -> DataFrame:
     """(record_a, record_b, similarity), record_a < record_b: all pairs of records found similar, copies included."""
-    min_chars = how.get("min_chars", 40)
     source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    texts, members = text_tables(source, min_chars)
+    texts, members = text_tables(source, how.get("min_chars", 40), how.get("bits", ID_BITS))
     links = similar_texts(texts, source, threshold, **how)
-    ours, theirs = (members.select(F.col("doc").alias(d), F.col("record").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
-    apart = links.join(ours, "a").join(theirs, "b").select("ra", "rb", "similarity")
-    copies = (members.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
-              .join(members, "doc"))
-    alike = (copies.withColumnRenamed("record", "ra").join(copies.withColumnRenamed("record", "rb"), "doc")
+    ours, theirs = (members.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("record").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
+    apart = links.join(ours, ["a", "more_a"]).join(theirs, ["b", "more_b"]).select("ra", "rb", "similarity")
+    copies = (members.groupBy("doc", "more").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "more")
+              .join(members, ["doc", "more"]))
+    alike = (copies.withColumnRenamed("record", "ra").join(copies.withColumnRenamed("record", "rb"), ["doc", "more"])
              # coalesce keeps a null check from being inferred, which would part this exchange from the shared one
              .filter(F.coalesce(F.col("ra") < F.col("rb"), F.lit(False))).select("ra", "rb", F.lit(1.0).alias("similarity")))
     return apart.unionByName(alike).select(
@@ -218,15 +209,14 @@ def duplicate_groups(df: DataFrame, record: str, columns: list[str], threshold:
 
     Groups are the connected components of the texts' links; the records of one text share a group, and are never paired.
     """
-    min_chars = how.get("min_chars", 40)
     source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    texts, members = text_tables(source, min_chars)
-    links = cut(similar_texts(texts, source, threshold, **how).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    members = cut(members)
-    parts = connected_components(members.select("doc").distinct(), links, "doc")
-    degree = (links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy("src").agg(F.count("*").alias("links"))
-              .withColumnRenamed("src", "doc"))
-    placed = cut(members.join(parts.withColumnRenamed("node", "doc"), "doc").join(degree, "doc", "left"))
+    texts, members = text_tables(source, how.get("min_chars", 40), how.get("bits", ID_BITS))
+    node = lambda doc, more: F.struct(F.col(doc).alias("doc"), F.col(more).alias("more"))
+    links = written(similar_texts(texts, source, threshold, **how).select(node("a", "more_a").alias("src"), node("b", "more_b").alias("dst")))
+    members = written(members.select(node("doc", "more").alias("text"), "record"))
+    parts = connected_components(members.select("text").distinct(), links, "text")
+    degree = (links.select(F.col("src").alias("text")).unionByName(links.select(F.col("dst").alias("text"))).groupBy("text").agg(F.count("*").alias("links")))
+    placed = written(members.join(parts.withColumnRenamed("node", "text"), "text").join(degree, "text", "left"))
     first = placed.groupBy("component").agg(F.min("record").alias("group"))
     alone = df.filter(F.col(record).isNotNull()).select(F.col(record).alias("record")).distinct().join(placed.select("record"), "record", "left_anti")
     return (placed.join(first, "component").select("record", "group", F.coalesce("links", F.lit(0)).alias("links"))

@@ -7,10 +7,12 @@
 3. A held-out text meets every training text that shares a fingerprint, however many have it.  Two texts of
    S >= ``threshold`` differ in at most (1 - threshold) / (1 + threshold) of both texts' trigrams, and every bit in
    which the sketches differ is caused by another differing trigram; so a pair with more such bits is dropped without
-   loss.  ``rare`` only chooses the way: fingerprints of more training texts are compared block by block.
+   loss.  ``rare`` only chooses the way: fingerprints of more training texts are compared block by block.  The training
+   texts of a fingerprint that a sample shows to have more than ``split`` of them are cut into slices by their hash, and
+   its held-out texts visit every slice, so no task holds them all.
 4. Candidates are verified on whole texts.  S >= ``threshold`` decides; of what is kept, the common fingerprints are
-   chained where they are collinear, every seed of the chain is extended to its full common run, and the report gives
-   the characters covered on either side.
+   chained where they are collinear, the chain is extended by alignment (the seeds to their full common runs, the gaps
+   between them by a banded alignment), and the report gives the characters that come out aligned on either side.
 
 Defined results: null or empty conversations, null values and short texts give no row; turns of the role ``system``
 are left out, a null role is not ``system``; a record loaded twice is one record; records of equal text each come out;
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import fold_batch, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked_more
+from prefengine.llm._packed import ID_BITS, fold_batch, frequent, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked_more, within
 from prefengine.llm._sketch import kmer_hashes, mix
 from prefengine.llm._text import trigrams
 
@@ -109,15 +111,26 @@ def parity_sketches(texts: list[str]) -> np.ndarray:
     return np.concatenate([size.view(np.uint8).reshape(-1, 4), np.packbits(odd.astype(np.uint8), axis=1)], axis=1)
 
 
-def _packed_keys(min_chars: int, k: int, window: int, parts: int, held: bool):
-    """(part, held, packed): the fingerprints of each text, with the text's sketch."""
+def _packed_keys(min_chars: int, k: int, window: int, parts: int, held: bool, hot: np.ndarray, slices: np.ndarray, bits: int):
+    """(part, held, packed): the fingerprints of each text, with the text's sketch; those of hot ones by slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = list(dict.fromkeys(fold_batch(b, min_chars)[1]))
             if not texts:
                 continue
             h, owner, _ = winnow(texts, k, window)
-            rows = packed_parts(h, text_hash(texts)[owner], parts, parity_sketches(texts)[owner])
+            docs, by, far = text_hash(texts, bits)[owner], h >> np.uint64(48), within(h, hot)
+            if far.any():
+                many = np.ones(len(h), np.int64)
+                many[far] = slices[np.searchsorted(hot, h[far])]
+                if held:  # a visit to every slice
+                    at = np.repeat(np.arange(len(h)), many)
+                    part = (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
+                    h, owner, docs, by, far = h[at], owner[at], docs[at], by[at], far[at]
+                else:
+                    part = mix(docs) % many.astype(np.uint64)
+                by = np.where(far, mix(h ^ mix(part + np.uint64(1))), by)
+            rows = packed_parts(h, docs, parts, parity_sketches(texts)[owner], by)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([held] * len(rows), pa.bool_()),
                  pa.array([r[1] for r in rows], pa.binary())], names=["part", "held", "packed"])
@@ -130,8 +143,10 @@ def _side(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])  # copies of a text meet here
-    more = more[order[new]]
+    more = more[order]
+    # copies of a text meet here
+    new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (more[1:] != more[:-1]).any(axis=1)
+    more = more[new]
     size = np.ascontiguousarray(more[:, :4]).view("<u4").reshape(-1).astype(np.int64)
     return keys[new], docs[new], size, np.ascontiguousarray(more[:, 4:]).view("<u8")
 
@@ -223,7 +238,7 @@ def collinear_chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def chain_coverage(a: str, b: str, k: int, window: int) -> tuple[float, float]:
-    """Shares of a's and of b's characters in the common runs around their collinear common fingerprints."""
+    """Shares of a's and of b's characters that the alignment along their collinear common fingerprints pairs."""
     h, owner, place = winnow([a, b], k, window)
     at: dict[int, list[int]] = {}
     for x, p in zip(h[owner == 1].tolist(), place[owner == 1].tolist(), strict=True):
@@ -239,18 +254,40 @@ def chain_coverage(a: str, b: str, k: int, window: int) -> tuple[float, float]:
         p, q = p + k, q + k
         while p < len(a) and q < len(b) and a[p] == b[q]:
             p, q = p + 1, q + 1
-        covered += p - i
+        covered += p - i + gap_matches(a[end_a:i], b[end_b:j])
         end_a, end_b = p, q
+    if seeds:
+        covered += gap_matches(a[end_a:], b[end_b:])
     return covered / max(1, len(a)), covered / max(1, len(b))
 
 
-def _verified(threshold: float, k: int, window: int):
+def gap_matches(a: str, b: str, band: int = 16) -> int:
+    """The most characters of two gaps that pair in order, within ``band`` diagonals of the way between their ends."""
+    if not a or not b:
+        return 0
+    if a == b:
+        return len(a)
+    n, m = len(a), len(b)
+    low, high = min(0, m - n) - band, max(0, m - n) + band  # places in b less places in a
+    last: dict[int, int] = {}
+    for i, x in enumerate(a):
+        row: dict[int, int] = {}
+        best = 0
+        for j in range(max(0, i + low), min(m, i + high + 1)):
+            best = max(last.get(j, 0), best, (last.get(j - 1, 0) + 1) if x == b[j] else 0)
+            row[j] = best
+        # beyond the band a row goes on as it ended
+        last = row if row else last
+    return max(last.values(), default=0)
+
+
+def _verified(threshold: float, k: int, window: int, coverage: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: bytes | None = None
         mine: set[str] = set()
         for b in batches:
-            rows = []
-            for v, t, text_v, text_t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            keep, rows = [], []
+            for i, (text_v, text_t) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
                 if text_t != last:
                     last, mine = text_t, trigrams(to_text(text_t))
                 n, theirs = len(mine), trigrams(to_text(text_v))
@@ -260,11 +297,11 @@ def _verified(threshold: float, k: int, window: int):
                 common = len(mine & theirs)
                 s = common / (n + m - common)
                 if s >= threshold - 1e-12:
-                    rows.append((v, t, s, *chain_coverage(to_text(text_v), to_text(text_t), k, window)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)],
-                names=["v", "t", "similarity", "coverage_val", "coverage_train"])
+                    keep.append(i)
+                    rows.append((s, *(chain_coverage(to_text(text_v), to_text(text_t), k, window) if coverage else (None, None))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(keep, pa.int64())) for i in range(4)], *[pa.array(c, pa.float64()) for c in columns]],
+                                             names=["v", "more_v", "t", "more_t", "similarity", "coverage_val", "coverage_train"])
     return run
 
 
@@ -275,32 +312,36 @@ def conversation_text(turns: str = "conversations") -> Column:
 
 
 def split_overlaps(train: DataFrame, held: DataFrame, record: str, text: Column, threshold: float = 0.8,
-                   min_chars: int = 40, k: int = 8, window: int = 16, rare: int = 16) -> DataFrame:
-    """(train_id, val_id, similarity, coverage_val, coverage_train) of all overlapping records of the two tables."""
+                   min_chars: int = 40, k: int = 8, window: int = 16, rare: int = 16, split: int = 20_000,
+                   coverage: bool = True, bits: int = ID_BITS) -> DataFrame:
+    """(train_id, val_id, similarity, coverage_val, coverage_train) of all overlapping records of the two tables.
+
+    Without ``coverage`` the two shares are null, and nothing is chained or aligned for them.
+    """
     spark = train.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sources = [source_texts(x, record, text) for x in (train, held)]
-    tables = [text_tables(x, min_chars) for x in sources]
-    texts = [t for t, _ in tables]
-    keyed = [x.mapInArrow(_packed_keys(min_chars, k, window, parts, held), "part int, held boolean, packed binary")
-             for x, held in zip(sources, (False, True), strict=True)]
-    candidates = (keyed[0].unionByName(keyed[1]).repartition("part")
-                  .mapInArrow(_same_key(rare, threshold), "v bigint, t bigint").distinct())
-    links = (candidates.join(texts[1].select(F.col("doc").alias("v"), F.col("text").alias("text_v")), "v")
-             .join(texts[0].select(F.col("doc").alias("t"), F.col("text").alias("text_t")), "t")
-             .select("v", "t", "text_v", "text_t")
-             .mapInArrow(_verified(threshold, k, window),
-                         "v bigint, t bigint, similarity double, coverage_val double, coverage_train double"))
-    train_ids, held_ids = (x.select(F.col("doc").alias(d), F.col("record").alias(r))
-                           for (_, x), d, r in zip(tables, ("t", "v"), ("train_id", "val_id"), strict=True))
-    return (links.join(held_ids, "v").join(train_ids, "t")
+    (texts_t, members_t), (texts_v, members_v) = (text_tables(x, min_chars, bits) for x in sources)
+    hot, texts_of, _ = frequent(sources[0], min_chars, lambda x: winnow(x, k, window)[0], split)
+    slices = -(-texts_of // max(1, split))
+    keyed = [x.mapInArrow(_packed_keys(min_chars, k, window, parts, is_held, hot, slices, bits), "part int, held boolean, packed binary")
+             for x, is_held in zip(sources, (False, True), strict=True)]
+    packed = keyed[0].unionByName(keyed[1]).repartitionById(parts, "part")
+    candidates = packed.mapInArrow(_same_key(rare, threshold), "v bigint, t bigint")
+    own, theirs = (x.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("text").alias(f"text_{d}")) for x, d in ((texts_v, "v"), (texts_t, "t")))
+    links = (candidates.distinct().join(own, "v").join(theirs, "t").select("v", "more_v", "t", "more_t", "text_v", "text_t")
+             .mapInArrow(_verified(threshold, k, window, coverage),
+                         "v bigint, more_v bigint, t bigint, more_t bigint, similarity double, coverage_val double, coverage_train double"))
+    train_ids, held_ids = (x.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("record").alias(r))
+                           for x, d, r in ((members_t, "t", "train_id"), (members_v, "v", "val_id")))
+    return (links.join(held_ids, ["v", "more_v"]).join(train_ids, ["t", "more_t"])
             .select("train_id", "val_id", "similarity", "coverage_val", "coverage_train"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = spark.read.parquet(f"{sf_dir}/sft_train.parquet").select("id", "conversations")
     held = spark.read.parquet(f"{sf_dir}/sft_val.parquet").select("id", "conversations")
-    return split_overlaps(train, held, "id", conversation_text(), threshold=0.7).select("train_id", "val_id")
+    return split_overlaps(train, held, "id", conversation_text(), threshold=0.7, coverage=False).select("train_id", "val_id")
 
 
 def overlap_counts(links: DataFrame, train: DataFrame, held: DataFrame, record: str, split: str, source: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefengine.llm import leakage, neardup, splits
-from prefengine.llm._packed import pack48, packed_parts, to_bytes, to_text, unpack48, unpacked
+from prefengine.llm._packed import pack48, packed_parts, text_hash, to_bytes, to_text, unpack48, unpacked
 from prefengine.llm._sketch import order_sketches
 from prefengine.llm._text import fold, trigram_similarity
 
@@ -66,7 +66,35 @@ def test_crowded_keys_lose_nothing(rows):
     df = rows([(i, t) for i, t in enumerate(texts)], "i bigint, q string")
     a = set(map(tuple, neardup.near_duplicates(df, "i", ["q"], 0.7).select("record_a", "record_b").collect()))
     b = set(map(tuple, neardup.near_duplicates(df, "i", ["q"], 0.7, hot=1).select("record_a", "record_b").collect()))
-    assert a == b and a
+    c = set(map(tuple, neardup.near_duplicates(df, "i", ["q"], 0.7, split=-1).select("record_a", "record_b").collect()))  # whatever the sample has is kept apart
+    assert a == b == c and a
+
+
+def test_a_template_in_a_third_of_the_rows(rows):
+    """Texts of one template that differ elsewhere: the crowded keys are compared by their rarest trigrams."""
+    rng = random.Random(21)
+    letters = [chr(0x4e00 + i) for i in range(3000)]
+    stem = "".join(rng.choice(letters) for _ in range(40))
+    texts = [stem + "".join(rng.choice(letters) for _ in range(40)) for _ in range(200)] + ["".join(rng.choice(letters) for _ in range(80)) for _ in range(400)]
+    texts += [_edited(rng, t, 3, letters) for t in texts[:100]]
+    df = rows(list(enumerate(texts)), "i bigint, q string")
+    got = [set(map(tuple, neardup.near_duplicates(df, "i", ["q"], 0.7, **how).select("record_a", "record_b").collect())) for how in ({"hot": 10}, {"split": -1})]
+    want = brute(texts, 0.7)
+    assert all(g <= want and len(g) >= 0.99 * len(want) for g in got) and len(want) >= 100
+
+
+def test_texts_that_share_an_id_keep_their_own_links(rows):
+    texts = corpus(5, groups=12)
+    df = rows(list(enumerate(texts)) + [(500 + i, t) for i, t in enumerate(texts[:9])], "i bigint, q string")
+    same = {(i, j) for i in range(9) for j in range(500, 509) if fold(texts[i]) == fold(texts[j - 500])}
+    h = text_hash([fold(t) for t in texts], 3)
+    for bits in (3, 48):  # with 3 bits texts are told apart by the rest of their hash alone
+        got = {(r["record_a"], r["record_b"]): r["similarity"] for r in neardup.near_duplicates(df, "i", ["q"], 0.7, bits=bits).collect()}
+        plain = {p: s for p, s in got.items() if p[1] < 500}
+        assert set(plain) <= brute(texts, 0.7) and all(abs(s - trigram_similarity(fold(texts[a]), fold(texts[b]))) < 1e-9 for (a, b), s in plain.items())
+        assert same <= set(got) and all(h[a] != h[b] or fold(texts[a]) == fold(texts[b]) for a, b in plain if bits == 3)
+    a, b = ({(x["train_id"], x["val_id"]) for x in splits.split_overlaps(df.filter("i % 2 = 0"), df.filter("i % 2 = 1"), "i", F.col("q"), 0.7, bits=n).collect()} for n in (3, 48))
+    assert a <= b and b
 
 
 def test_near_duplicate_edges(rows):
@@ -131,6 +159,10 @@ def test_chains():
     assert splits.collinear_chain([(0, 5), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)] and splits.collinear_chain([]) == []
     t = "".join(chr(0x4e00 + i) for i in range(100))
     assert splits.chain_coverage(t, t, 8, 16) == (1.0, 1.0)
+    # one letter replaced, one put in: the gaps are aligned, so only the edits are left out
+    other = t[:30] + "Z" + t[31:60] + "Y" + t[60:]
+    assert splits.chain_coverage(t, other, 8, 16) == (0.99, 99 / 101)
+    assert splits.gap_matches("abcd", "axcd") == 3 and splits.gap_matches("", "a") == 0 and splits.gap_matches("ab" * 50, "ba" * 50) == 99
 
 
 @pytest.mark.parametrize("edits", [0, 2])
@@ -234,7 +266,7 @@ def test_frequent_fingerprints_lose_nothing(rows):
     a, b = ([set(splits.winnow([t], 8, 16)[0].tolist()) for t in x] for x in (train, held))
     want = {(i, j) for i, x in enumerate(train) for j, y in enumerate(held) if a[i] & b[j] and trigram_similarity(x, y) >= 0.7}
     ids = [rows(list(enumerate(x)), "id bigint, text string").repartition(1) for x in (train, held)]
-    for rare in ({}, {"rare": 0}, {"rare": 10**6}):  # it only chooses the way
+    for rare in ({}, {"rare": 0}, {"rare": 10**6}, {"split": -1}):  # it only chooses the way
         out = splits.split_overlaps(*ids, "id", F.col("text"), 0.7, **rare).collect()
         assert {(r["train_id"], r["val_id"]) for r in out} == want and len(out) == len(want)
 
@@ -264,5 +296,5 @@ def test_a_copied_training_text_counts_once(rows):
     out = splits.split_overlaps(train, rows([(0, other)], "id bigint, text string"), "id", F.col("text"), 0.7).collect()
     assert sorted(r["train_id"] for r in out) == list(range(60))
     h, owner, _ = splits.winnow([base], 8, 16)
-    chunks = [x for _ in range(20) for _, x in packed_parts(h, splits.text_hash([base])[owner], 1, splits.parity_sketches([base])[owner])]
+    chunks = [x for _ in range(20) for _, x in packed_parts(h, text_hash([base])[owner], 1, splits.parity_sketches([base])[owner])]
     assert len(splits._side(chunks)[0]) == len(set(h.tolist()))
