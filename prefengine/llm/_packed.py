@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefengine.llm._sketch import mix
 from prefengine.llm._text import fold
@@ -115,14 +116,24 @@ def folded_texts(source: DataFrame, min_chars: int, bits: int = ID_BITS) -> Data
                  pa.array(map(to_bytes, texts), pa.binary())],
                 names=["doc", "more", "record", "text"])
 
-    kind = source.schema["record"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc bigint, more bigint, record {kind}, text binary")
+    # ids are not null, so that no null check of a join parts the exchange of these rows from its reuse
+    return source.mapInArrow(run, T.StructType([T.StructField("doc", T.LongType(), False), T.StructField("more", T.LongType(), False),
+                                                T.StructField("record", source.schema["record"].dataType), T.StructField("text", T.BinaryType())]))
+
+
+def of_text(df: DataFrame, members: DataFrame, doc: str, more: str, name: str) -> DataFrame:
+    """df with the records (``name``) of the text (doc, more).
+
+    Both sides lie by ``doc`` already; ``more`` is compared as a condition, as a second join key would move them again.
+    """
+    own = members.select(F.col("doc").alias(doc), F.col("more").alias("_more"), F.col("record").alias(name))
+    return df.join(own, doc).filter(F.coalesce(F.col(more) == F.col("_more"), F.lit(False))).drop("_more")
 
 
 # --- keys of very many texts --------------------------------------------------------------------------------------------
 
 #: Counters of trigrams that are kept; a trigram without one of its own shares it.
-_SLOTS = 1 << 16
+_SLOTS = 1 << 15
 
 
 def gram_numbers(text: str) -> np.ndarray:
@@ -133,7 +144,7 @@ def gram_numbers(text: str) -> np.ndarray:
     return np.unique(mix(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]))
 
 
-def frequent(source: DataFrame, min_chars: int, keys_of, split: int, of: int = 64, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frequent(source: DataFrame, min_chars: int, keys_of, split: int, grams: bool = True, of: int = 64, most: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys of more than about ``split`` texts, their texts, how often the trigrams of each slot occur), from every ``of``-th text by hash.
 
     The counts only choose the way in which the texts of a key are compared, and an order of trigrams that makes a prefix
@@ -143,7 +154,8 @@ def frequent(source: DataFrame, min_chars: int, keys_of, split: int, of: int = 6
         for b in batches:
             texts = list(dict.fromkeys(fold_batch(b, min_chars)[1]))
             keys, n = np.unique(keys_of(texts), return_counts=True)
-            slots = np.bincount(np.concatenate([np.zeros(0, np.int64), *[(gram_numbers(t) % np.uint64(_SLOTS)).astype(np.int64) for t in texts]]), minlength=_SLOTS)
+            each = [(gram_numbers(t) % np.uint64(_SLOTS)).astype(np.int64) for t in texts] if grams else []
+            slots = np.bincount(np.concatenate([np.zeros(0, np.int64), *each]), minlength=_SLOTS)
             used = np.flatnonzero(slots)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(len(keys), bool), np.ones(len(used), bool)])), pa.array(np.concatenate([keys.view(np.int64), used])),
@@ -152,7 +164,7 @@ def frequent(source: DataFrame, min_chars: int, keys_of, split: int, of: int = 6
     some = source.filter(F.pmod(F.xxhash64("text"), F.lit(of)) == 0)
     counts = (some.mapInArrow(run, "gram boolean, key bigint, n bigint").groupBy("gram", "key").agg(F.sum("n").alias("n"))
               .filter(F.col("gram") | (F.col("n") * of > split)).orderBy("gram", F.desc("n")).limit(most + _SLOTS).collect())
-    order = np.zeros(_SLOTS, np.int64)
+    order = np.zeros(_SLOTS, np.int32)
     for r in counts:
         if r["gram"]:
             order[r["key"]] = r["n"]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import ID_BITS, fold_batch, frequent, packed_parts, prefix_keys, source_texts, text_hash, text_tables, to_text, unpacked, within
+from prefengine.llm._packed import ID_BITS, fold_batch, frequent, of_text, packed_parts, prefix_keys, source_texts, text_hash, text_tables, to_text, unpacked, within
 from prefengine.llm._sketch import order_sketches
 from prefengine.llm._text import trigrams
 from prefengine.operators.graph import connected_components
@@ -182,7 +182,7 @@ def similar_texts(texts: DataFrame, source: DataFrame, threshold: float = 0.8, m
               .mapInArrow(prefix_keys(threshold, order), "key bigint, doc bigint").distinct())
     more = (prefix.withColumnRenamed("doc", "a").join(prefix.withColumnRenamed("doc", "b"), "key")
             .filter(F.col("a") < F.col("b")).select("a", "b"))
-    candidates = pairs.unionByName(more).distinct()
+    candidates = pairs.unionByName(more).repartition("a").distinct()  # lies by a for the join, too
     a, b = (texts.select(F.col("doc").alias(x), F.col("more").alias(f"more_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     return (candidates.join(a, "a").join(b, "b").select("a", "more_a", "b", "more_b", "text_a", "text_b")
             .mapInArrow(_verified(threshold, verify), "a bigint, more_a bigint, b bigint, more_b bigint, similarity double"))
@@ -193,13 +193,11 @@ def near_duplicates(df: DataFrame, record: str, columns: list[str], threshold: f
     source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
     texts, members = text_tables(source, how.get("min_chars", 40), how.get("bits", ID_BITS))
     links = similar_texts(texts, source, threshold, **how)
-    ours, theirs = (members.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("record").alias(r)) for d, r in (("a", "ra"), ("b", "rb")))
-    apart = links.join(ours, ["a", "more_a"]).join(theirs, ["b", "more_b"]).select("ra", "rb", "similarity")
-    copies = (members.groupBy("doc", "more").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "more")
-              .join(members, ["doc", "more"]))
-    alike = (copies.withColumnRenamed("record", "ra").join(copies.withColumnRenamed("record", "rb"), ["doc", "more"])
-             # coalesce keeps a null check from being inferred, which would part this exchange from the shared one
-             .filter(F.coalesce(F.col("ra") < F.col("rb"), F.lit(False))).select("ra", "rb", F.lit(1.0).alias("similarity")))
+    apart = of_text(of_text(links, members, "a", "more_a", "ra"), members, "b", "more_b", "rb").select("ra", "rb", "similarity")
+    copies = members.groupBy("doc", "more").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "more")
+    copies = of_text(of_text(copies, members, "doc", "more", "ra"), members, "doc", "more", "rb")
+    # coalesce keeps a null check from being inferred, which would part this exchange from the shared one
+    alike = copies.filter(F.coalesce(F.col("ra") < F.col("rb"), F.lit(False))).select("ra", "rb", F.lit(1.0).alias("similarity"))
     return apart.unionByName(alike).select(
         F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"), "similarity")
 

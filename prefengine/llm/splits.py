@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import ID_BITS, fold_batch, frequent, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked_more, within
+from prefengine.llm._packed import ID_BITS, fold_batch, frequent, of_text, packed_parts, source_texts, text_hash, text_tables, to_text, unpacked_more, within
 from prefengine.llm._sketch import kmer_hashes, mix
 from prefengine.llm._text import trigrams
 
@@ -322,19 +322,17 @@ def split_overlaps(train: DataFrame, held: DataFrame, record: str, text: Column,
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sources = [source_texts(x, record, text) for x in (train, held)]
     (texts_t, members_t), (texts_v, members_v) = (text_tables(x, min_chars, bits) for x in sources)
-    hot, texts_of, _ = frequent(sources[0], min_chars, lambda x: winnow(x, k, window)[0], split)
+    hot, texts_of, _ = frequent(sources[0], min_chars, lambda x: winnow(x, k, window)[0], split, grams=False)
     slices = -(-texts_of // max(1, split))
     keyed = [x.mapInArrow(_packed_keys(min_chars, k, window, parts, is_held, hot, slices, bits), "part int, held boolean, packed binary")
              for x, is_held in zip(sources, (False, True), strict=True)]
     packed = keyed[0].unionByName(keyed[1]).repartitionById(parts, "part")
     candidates = packed.mapInArrow(_same_key(rare, threshold), "v bigint, t bigint")
     own, theirs = (x.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("text").alias(f"text_{d}")) for x, d in ((texts_v, "v"), (texts_t, "t")))
-    links = (candidates.distinct().join(own, "v").join(theirs, "t").select("v", "more_v", "t", "more_t", "text_v", "text_t")
+    links = (candidates.repartition("v").distinct().join(own, "v").join(theirs, "t").select("v", "more_v", "t", "more_t", "text_v", "text_t")
              .mapInArrow(_verified(threshold, k, window, coverage),
                          "v bigint, more_v bigint, t bigint, more_t bigint, similarity double, coverage_val double, coverage_train double"))
-    train_ids, held_ids = (x.select(F.col("doc").alias(d), F.col("more").alias(f"more_{d}"), F.col("record").alias(r))
-                           for x, d, r in ((members_t, "t", "train_id"), (members_v, "v", "val_id")))
-    return (links.join(held_ids, ["v", "more_v"]).join(train_ids, ["t", "more_t"])
+    return (of_text(of_text(links, members_v, "v", "more_v", "val_id"), members_t, "t", "more_t", "train_id")
             .select("train_id", "val_id", "similarity", "coverage_val", "coverage_train"))
 
 
