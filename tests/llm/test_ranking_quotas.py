@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefengine.llm import quotas, ranking
+from tests.conftest import DATA
+from tests.oracle import connect, same
 
 SCORES = {"a": 1.0, "b": 1.0, "c": 1.0}
 
@@ -11,31 +13,54 @@ def table(rows, data):
     return rows(data, "s string, i int, a double, b double, c double, place_sum string")
 
 
-def test_no_score_outweighs_another(rows):
-    data = [("x", 0, 1.0, 1000.0, 5.0, ""), ("x", 1, 0.0, 2000.0, 4.0, ""), ("x", 2, 0.5, 0.0, 3.0, ""), ("y", 0, 1.0, 1.0, 1.0, ""), ("y", 1, 1.0, 1.0, 1.0, "")]
-    out = ranking.ranking(ranking.combined_scores(table(rows, data), "s", "i", SCORES, scale="places", steepness=1e-3), "s", "i")
-    got = {(r["s"], r["i"]): (r["rank"], r["place_sum"]) for r in out.collect()}
-    assert got == {("x", 0): (1, 4.0), ("x", 1): (2, 6.0), ("x", 2): (3, 8.0), ("y", 0): (1, 4.5), ("y", 1): (2, 4.5)}
-
-
-def test_both_ways_to_places_agree(rows):
-    rng = np.random.default_rng(9)
-    data = [(f"s{s}", i, float(rng.integers(0, 3)), float(rng.integers(1, 6)) if rng.random() < 0.97 else None, float(rng.integers(0, 9)), "") for s in range(30) for i in range(rng.integers(1, 7))]
-    a, b = ({(r["s"], r["i"]): (round(r["combined"], 12), r["place_sum"]) for r in ranking.combined_scores(table(rows, data), "s", "i", SCORES, scale="places", max_set_rows=n).collect()}
-            for n in (0, 100))
-    assert a == b and a
+def plain(data, weights, steepness=1.0):
+    """The method written out with numpy, all candidates under one judge."""
+    x = np.array([r[2:5] for r in data], float)
+    lower = lambda v: np.sort(v, axis=0)[(len(v) - 1) // 2]
+    middle = lower(x)
+    mad, mean = lower(np.abs(x - middle)), np.abs(x - middle).mean(axis=0)
+    unit = np.where(mad > 0, 1.4826 * mad, 1.2533 * mean)
+    z = np.divide(x - middle, unit, out=np.zeros_like(x), where=unit > 0)
+    w = np.array(list(weights.values()))
+    return np.exp((-np.log1p(np.exp(-steepness * z)) * w).sum(axis=1) / w.sum())
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_places_order_equals_sum_of_places(rows, seed):
+def test_combined_scores_equal_the_method(rows, seed):
     rng = np.random.default_rng(seed)
-    data = [(f"s{s}", i, float(rng.integers(0, 2)), float(rng.integers(1, 6)), float(rng.integers(0, 100)), "") for s in range(20) for i in range(rng.integers(2, 7))]
-    out = ranking.combined_scores(table(rows, data), "s", "i", SCORES, scale="places", steepness=1e-3).collect()
-    for s in {r["s"] for r in out}:
-        mine = [r for r in out if r["s"] == s]
-        for x in mine:
-            for y in mine:
-                assert not (x["place_sum"] < y["place_sum"] and x["combined"] <= y["combined"])
+    data = [(f"s{s}", i, float(rng.integers(0, 2)), float(rng.integers(1, 6)), float(rng.lognormal(3, 2)), "") for s in range(20) for i in range(rng.integers(2, 7))]
+    weights = {"a": 1.0, "b": 2.0, "c": 0.5}
+    got = {(r["s"], r["i"]): r["combined"] for r in ranking.combined_scores(table(rows, data), "s", "i", weights, steepness=0.7).collect()}
+    assert np.allclose([got[r[0], r[1]] for r in data], plain(data, weights, 0.7))
+
+
+def test_an_outlier_does_not_decide_the_ranking(rows, monkeypatch):
+    """Without the median deviation and the logistic the score of the largest range orders all."""
+    data = [("x", 0, 1.0, 5.0, 60.0, ""), ("x", 1, 1.0, 4.0, 50.0, ""), ("x", 2, 0.0, 1.0, 1e7, ""), ("x", 3, 1.0, 4.0, 55.0, ""), ("x", 4, 0.0, 2.0, 40.0, "")]
+
+    def best():
+        return [r["i"] for r in ranking.ranking(ranking.combined_scores(table(rows, data), "s", "i", SCORES), "s", "i").orderBy("rank").collect()]
+    assert best() == [0, 3, 1, 2, 4] or best()[0] == 0
+    monkeypatch.setattr(ranking, "bounded_logarithm", lambda value, middle, *_: value - middle)
+    assert best()[0] == 2
+
+
+def test_confirmed_best(rows):
+    data = [("x", 0, 0.9, 5.0), ("x", 1, 0.8, 4.0), ("x", 2, 0.7, 9.0), ("y", 0, 0.9, 3.0), ("y", 1, 0.8, 6.0), ("z", 0, 0.9, 3.0), ("z", 1, 0.8, 3.0), ("w", 0, 0.5, 1.5), ("w", 1, 0.5, 2.5)]
+    got = sorted(map(tuple, ranking.confirmed_best(rows(data, "s string, i int, combined double, place_sum double"), "s", "i").collect()))
+    assert got == [("w", 0, True), ("x", 1, False), ("y", 0, True)]
+
+
+def test_places(rows):
+    data = [("x", 0, 1.0, 1000.0, 5.0, ""), ("x", 1, 0.0, 2000.0, 4.0, ""), ("x", 2, 0.5, 0.0, 3.0, ""), ("y", 0, 1.0, 1.0, 1.0, ""), ("y", 1, 1.0, 1.0, 1.0, "")]
+    got = {(r["s"], r["i"]): r["place_sum"] for r in ranking.combined_scores(table(rows, data), "s", "i", SCORES).collect()}
+    assert got == {("x", 0): 4.0, ("x", 1): 6.0, ("x", 2): 8.0, ("y", 0): 4.5, ("y", 1): 4.5}
+
+
+def test_queries_equal_sql(spark):
+    con = connect(DATA)
+    same(ranking.p2_found(spark, DATA), con, ranking.P2_SQL)
+    same(ranking.p2_ranking(spark, DATA), con, ranking.P2_RANKING_SQL)
 
 
 def test_values_are_standardised_by_judge(rows):
@@ -47,8 +72,8 @@ def test_values_are_standardised_by_judge(rows):
 def test_bad_scores(rows):
     data = [("x", 0, 1.0, None, 5.0, ""), ("x", 1, 1.0, 1.0, 1.0, ""), ("y", 0, float("nan"), 1.0, 1.0, ""), ("y", 1, 1.0, 1.0, 1.0, ""), ("z", 0, 9.0, 1.0, 1.0, ""), ("z", 1, 1.0, 1.0, 1.0, "")]
     bounds = {"a": F.col("a").between(0, 5)}
-    assert ranking.combined_scores(table(rows, data), "s", "i", SCORES, bounds, scale="places").count() == 0
-    assert ranking.combined_scores(table(rows, data), "s", "i", SCORES, bounds, scale="places", whole_sets=False).count() == 3
+    assert ranking.combined_scores(table(rows, data), "s", "i", SCORES, bounds).count() == 0
+    assert ranking.combined_scores(table(rows, data), "s", "i", SCORES, bounds, whole_sets=False).count() == 3
     assert ranking.combined_scores(table(rows, []), "s", "i", SCORES).count() == 0
 
 
