@@ -4,16 +4,16 @@ Every side of a pair is read once and gets at most one defect, the first that ap
 
 ``empty``            after thinking blocks, mark-up, entities and invisible characters nothing but a placeholder is left
 ``copies_question``  greedy string tiling covers the answer with runs of the question, and most of the question with it
-``refusal``          a refusal grammar (who, cannot, which act of answering) derives a sentence of the answer
+``refusal``          a grammar over word classes (who, cannot, which act, what about) derives a clause of the answer
 ``other_language``   script counts, and function words among Latin-script languages, name another language than the
                      question's, which the question does not ask for
-``truncated``        a pushdown parser over brackets and quotations does not end in a final state, or patterns find an open
-                     fence or an unfinished list; mark-up is taken out first
+``truncated``        a pushdown automaton over fences, tags, brackets, quotations and announced lists does not end in a
+                     final state, or the last sentence has no end (a mark, a modal tail, a farewell)
 
 Defined results: a null or empty ``chosen``/``rejected`` array, a null message and null contents are ``empty``; a null
 or empty prompt has no question, so only ``empty``, ``refusal`` and ``truncated`` can apply; the answer is the last
-message of a side; a pair loaded twice gives one row per side; very long texts are read whole (the parser is linear,
-tiling runs only where the lengths allow a copy); an empty table gives an empty result; extra columns are ignored.
+message of a side; a pair loaded twice gives one row per side; very long texts are read whole (the automaton is linear,
+tiling too unless a text repeats itself); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,47 +50,58 @@ def is_empty(seen: str) -> bool:
 _FRAME = re.compile(r"您问的是|你问的是|您的问题是|您想问的是|您问|问题|提问|亲亲|您好|你好|亲|question|youasked|yourquestionis|yourquestion")
 
 
-def tiles(answer: str, question: str, least: int) -> tuple[int, int]:
-    """Greedy string tiling: characters of the answer and of the question covered by common runs of ``least`` or more.
+def tiles(answer: str, question: str, least: int, free: bytearray | None = None) -> tuple[int, int]:
+    """Greedy string tiling: characters of the answer and of the question newly covered by common runs of ``least`` or more.
 
-    The longest run is marked first.  The question's marks do not block further tiles, so a question given back twice
-    covers the whole answer.
+    The longest runs are marked first and no mark is used twice.  Run lengths are searched from long to short by a table
+    of the question's unmarked windows, as with running hashes.  ``free`` holds the answer's unmarked characters.
     """
-    free = [True] * len(answer)
-    met = [False] * len(question)
+    free = bytearray(b"\1") * len(answer) if free is None else free
+    open_ = bytearray(b"\1") * len(question)
+    before, size = free.count(0), max(least, min(len(answer), len(question), 32))
     while True:
-        best, ends = least - 1, []
-        row = [0] * (len(question) + 1)
-        for i, a in enumerate(answer):
-            new = [0] * (len(question) + 1)
-            if free[i]:
-                for j, q in enumerate(question):
-                    if a == q:
-                        n = new[j + 1] = row[j] + 1
-                        if n > best:
-                            best, ends = n, [(i, j)]
-                        elif n == best and n >= least:
-                            ends.append((i, j))
-            row = new
-        if not ends:
-            return free.count(False), sum(met)
-        for i, j in ends:
-            if all(free[i - best + 1:i + 1]):
-                free[i - best + 1:i + 1] = [False] * best
-                met[j - best + 1:j + 1] = [True] * best
-
-
-def run_cover(answer: str, question: str, least: int) -> tuple[int, int]:
-    """The same for long texts, in linear time: characters within any common run of ``least`` or more."""
-    def covered(x: str, y: str) -> int:
-        known = {y[i:i + least] for i in range(len(y) - least + 1)}
-        n = end = 0
-        for i in range(len(x) - least + 1):
-            if x[i:i + least] in known:
-                n += i + least - max(end, i)
-                end = i + least
-        return n
-    return covered(answer, question), covered(question, answer)
+        windows: dict[str, list[int]] = {}
+        for j in _starts(open_, size):
+            windows.setdefault(question[j:j + size], []).append(j)
+        found = []
+        for i in _starts(free, size) if windows else ():
+            for j in windows.get(answer[i:i + size], ()):
+                if i and j and free[i - 1] and open_[j - 1] and answer[i - 1] == question[j - 1]:
+                    continue  # within a run that began before
+                n = size
+                while i + n < len(answer) and j + n < len(question) and free[i + n] and open_[j + n] and answer[i + n] == question[j + n]:
+                    n += 1
+                found.append((-n, i, j))
+        for n, i, j in sorted(found):
+            if 0 not in free[i:i - n] and 0 not in open_[j:j - n]:
+                free[i:i - n] = open_[j:j - n] = bytes(-n)
+        if not found:
+            if size == least:
+                return free.count(0) - before, open_.count(0)
+            size = max(least, size // 2)
+
+
+def _starts(free: bytearray, size: int) -> list[int]:
+    """Where ``size`` unmarked characters begin."""
+    out, run = [], 0
+    for i, x in enumerate(free):
+        run = run + 1 if x else 0
+        if run >= size:
+            out.append(i - size + 1)
+    return out
+
+
+def within_runs(answer: str, question: str, least: int, share: float) -> bool:
+    """Whether ``share`` of the answer lies in common runs of ``least`` or more; without that no tiling covers so much."""
+    known = {question[i:i + least] for i in range(len(question) - least + 1)}
+    out, end, most = 0, 0, (1 - share) * len(answer) + 1e-9
+    for i in range(len(answer) - least + 1):
+        if answer[i:i + least] in known:
+            out += max(0, i - end)
+            end = i + least
+        if out + max(0, i - end) > most:
+            return False
+    return out + len(answer) - end <= most
 
 
 def copies_question(answer: str, question: str) -> bool:
@@ -102,37 +113,82 @@ def copies_question(answer: str, question: str) -> bool:
         return True
     a = _FRAME_FOLDED.sub("", a)
     q = _FRAME_FOLDED.sub("", q)
-    if not q or not a or len(a) > 2 * len(q) + 8 or len(q) > 4 * len(a):
-        return bool(a) and bool(q) and len(q) * (len(a) // len(q)) == len(a) and q * (len(a) // len(q)) == a
+    if not q or not a or len(q) > 4 * len(a):
+        return False
     if q in a and len(a) <= len(q) + 2:
         return True
-    covered, met = tiles(a, q, min(4, len(a))) if len(a) * len(q) <= 40_000 else run_cover(a, q, 4)
-    return covered >= 0.9 * len(a) and met >= 0.8 * len(q)
+    least = min(4, len(a))
+    if not within_runs(a, q, least, 0.9):
+        return False
+    free, met = bytearray(b"\1") * len(a), 0
+    while True:  # a question given back several times is tiled as often
+        new, own = tiles(a, q, least, free)
+        met = max(met, own)
+        if not new:
+            return free.count(0) >= 0.9 * len(a) and met >= 0.8 * len(q)
 
 
 _FRAME_FOLDED = re.compile(_FRAME.pattern.replace("您", "我").replace("你问", "我问").replace("你好", "我好"))
 
 # --- refusals -------------------------------------------------------------------------------------------------------
 
-_CANNOT = "(?:无法|不能|没办法|没有办法|没法|不方便|不便|不可以|不会|难以|不愿|不予|无权|没有权限|不被允许|不允许)"
-_ACT = ("(?:回答|作答|答复|解答|协助|帮助|帮您|帮你|帮到|讨论|谈论|评论|置评|透露|奉告|从命|效劳|提供(?:任何|相关|此类|这类)?(?:建议|帮助|意见|协助|答案|信息|解答)"
-        "|处理(?:您|你|这)|回应|就此|满足(?:这|您|你|该|此)|继续(?:这个|该|此)?(?:话题|对话))")
-_REFUSAL = re.compile("|".join((
-    f"{_CANNOT}[^。！？!?；，,]{{0,8}}{_ACT}",
-    "(?:回答|解答|答复|帮|协助|帮助|帮忙)不了",
-    "恕(?:我|本店|小店|在下)?(?:不能|无法|难|不便|不)[^。！？]{0,6}(?:作答|回答|从命|奉告|答复|提供|协助|解答)",
-    "无可奉告|拒绝(?:回答|这个请求|这个要求|该请求|您的请求|此请求|提供|作答)",
-    "(?:超出|超过)(?:了)?(?:我|我们|本助手)的?(?:能力|服务|权限|知识|职责)(?:范围)?",
-    "不(?:在|属于)(?:我|我们)的?(?:服务|能力|职责|权限|业务)范围",
-    f"(?:我(?:只)?是|作为)一?[个名款]?[^。！？，,]{{0,6}}(?:助手|模型|人工智能|AI|机器人)[^。！？]{{0,16}}{_CANNOT}",
-    r"(?i:\b(?:i|we)(?:'m| am|'re| are)?[^.!?]{0,24}(?:can't|cannot|can not|unable|not able|won't|will not|not allowed|not permitted|must decline|have to decline|decline)\b"
-    r"[^.!?]{0,30}\b(?:help|assist|answer|discuss|respond|comply|talk about|provide|support|advise|comment|that|request))",
-    r"(?i:\bbeyond what (?:i|we)\b|\bnot something (?:i|we) (?:can|am able|are able)|\bas an? (?:ai|language model|virtual assistant|assistant)\b[^.!?]{0,60}(?:can't|cannot|unable|not able)|\bi (?:must|have to) (?:decline|refuse)|\boutside (?:of )?(?:my|our) (?:scope|remit|abilities))",
+#: Word classes of the grammar of refusals, longest words first within the reading order.
+_CLASSES = (
+    ("B", "(?:回答|解答|答复|作答|答|帮|协助|帮助|帮忙)(?:不了|不到|不上)|答不上来|爱莫能助|无能为力"),
+    ("D", "无可奉告|恕不奉陪|恕不(?:回答|作答|答复|奉告)|恕难(?:回答|作答|从命|奉告|答复)|不予(?:回答|作答|置评|答复|回应)"),
+    ("C", "换(?:个|一个)(?:话题|问题)|聊(?:点|些)(?:别的|其他)|(?:咨询|问|找|去)(?:一下)?(?:别处|别家|别人|他处)|另请高明|另寻他处"),
+    ("X", "超纲|超出(?:了)?|超过(?:了)?|不在|不属于|不归"),
+    ("R", "拒绝"),
+    ("N", "恕(?:我|本店|小店|在下)?(?:不能|无法|不便|难以|不)|无法|不能(?:够)?|没办法|没有办法|没法|不方便|不便|难以|无权|没有权限|不被允许|不允许|不可以"),
+    ("W", "不会|不愿意?|不想|不打算"),
+    ("A", "回答|作答|答复|解答|回应|置评|奉告|从命|效劳|讨论|谈论|评论|评价|透露"),
+    ("H", "协助|帮助|帮忙|帮|满足|处理|提供|给出|继续|支持"),
+    ("I", "(?:任何|相关|此类|这类|具体)?(?:建议|意见|答案|解答|回答|答复|帮助|协助)"),
+    ("Q", "(?:您|你)(?:所)?(?:说|问|提)(?:到|及|起)?的(?:问题|事情|事)?|(?:您|你|亲)?的?(?:这个|该|此|这|这类|此类|那个|关于[^，,。]{1,12}的)(?:类)?(?:方面)?的?(?:问题|请求|要求|话题|内容|提问|咨询)|(?:您|你)的(?:问题|请求|要求|提问)|就此|对此|此事|(?:相关|有关|方面)的?(?:内容|话题|问题|事情|事)"),
+    ("G", "(?:的)?(?:能力|服务|权限|知识|职责|业务|回答|解答|工作)?(?:范围|范畴)(?:之内|以内|内)?|(?:的)?(?:能力|权限|职责)"),
+    ("O", "第三方|他人|别人|外界|任何人|外部"),
+    ("S", "我们|我|咱们|咱|本助手|本店|小店|这边|客服"),
+    ("Y", "您|你|亲"),
+    ("M", "一个?(?:智能)?(?:客服)?(?:助手|模型|机器人)|人工智能|语言模型|AI|(?:智能|客服)?(?:助手|机器人)"),
+    ("e", "[呢哦哈啊呀吧啦了的～~、 ]+|非常|很|真的|实在|暂时|目前|也|都|就|是|到|给|为|向|对|这里|作为|只是|一名|一款|一位|抱歉|不好意思|对不起|请"),
+)
+_CLASS = re.compile("|".join(f"(?P<{name}>{words})" for name, words in _CLASSES) + "|(?P<u>.)", re.S)
+#: What the grammar derives: clauses as class letters, without the empty words e; u is any other text.
+_DERIVED = re.compile("|".join((
+    "[SMY]?N[SYQu]{0,3}A(?:u?[QYI]|$|u{0,4}$)",  # cannot ... answer (this, you, nothing)
+    "Nu{0,2}[SYQ]*H[YQ]*(?:A|H)?(?:I|Q|$)",  # cannot help (you) (deal with) this; cannot give advice
+    "(?:N|W)[SY]?(?:Q)[SY]?(?:A|H)",  # cannot on this matter answer
+    "W[SY]*A(?:[QYI]|$)", "N[SYQ]*I$", "B(?:[YQ]|$)", "D", "C",
+    "R(?:A|Q|H?I)", "[SQM]?X[SM]?u?G", "QX$", "QX[SM]?",
 )))
+_ENGLISH = re.compile("|".join((
+    r"\b(?:i|we)(?:'m| am|'re| are)?[^.!?]{0,24}\b(?:can't|cannot|can not|unable to|not able to|won't be able to|not allowed to|not permitted to|must decline|have to decline|decline)\b"
+    r"[^.!?]{0,20}\b(?:help|assist|answer|discuss|respond|comply|talk about|comment|advise|(?:provide|give|offer)[^.!?]{0,16}(?:answer|advice|help|assistance|information on (?:that|this))|(?:that|this) (?:request|question|topic))",
+    r"\b(?:i|we) (?:won't|will not)\b[^.!?]{0,16}\b(?:answer|discuss|respond|comply|comment|talk about)\b",
+    r"\bbeyond what (?:i|we)\b|\bnot something (?:i|we) (?:can|am able|are able)|\bi (?:must|have to) (?:decline|refuse)|\boutside (?:of )?(?:my|our) (?:scope|remit|abilities)",
+    r"\bas an? (?:ai|language model|virtual assistant|assistant)\b[^.!?]{0,60}(?:can't|cannot|unable|not able)",
+)), re.I)
+_CLAUSE = re.compile("[。！？!?；;\n，,]")
+
+
+def classes(clause: str) -> str:
+    """A clause as the letters of its word classes; runs of other text are one u, empty words are left out."""
+    out = "".join(m.lastgroup for m in _CLASS.finditer(clause))
+    return re.sub("u+", "u", out.replace("e", ""))
 
 
 def is_refusal(seen: str) -> bool:
-    return _REFUSAL.search(seen.replace("’", "'")) is not None
+    """Whether the grammar derives a clause; whatever is kept from other parties is no refusal."""
+    text = seen.replace("’", "'")
+    if _ENGLISH.search(text):
+        return True
+    model = False
+    for clause in _CLAUSE.split(text):
+        form = classes(clause) if clause else ""
+        if form and "O" not in form and (_DERIVED.search(form) or model and re.search("^[SM]?N[SYQ]*[AHI]", form)):
+            return True
+        model = model or "M" in form  # I am but a model: what it cannot do next is what was asked
+    return False
 
 
 # --- languages ------------------------------------------------------------------------------------------------------
@@ -174,10 +230,11 @@ def language(text: str) -> str | None:
             if lang == "ja" or n >= 0.3 * latin:
                 return lang
     words = _WORD.findall(re.sub(r"[A-Za-z]*\d[A-Za-z0-9]*", " ", text).lower())
-    if han and 2.5 * han >= len(words):
-        return "zh"
     votes = {lang: sum(w in known for w in words) for lang, known in _WORDS.items()}
     best = max(votes, key=lambda lang: (votes[lang], lang == "en"))
+    # a sentence of another language may name a thing in ideographs
+    if han and 2.5 * han >= len(words) and not (votes[best] >= 3 and votes[best] >= 0.25 * len(words) and han <= len(words)):
+        return "zh"
     if votes[best] >= max(2, 0.12 * len(words)):
         return best
     return "latin" if len(words) >= 4 else None
@@ -201,52 +258,110 @@ _OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "{": "}", "《": "》",
 _CLOSE = {v: k for k, v in _OPEN.items()}
 _SAME = {"(": "（", "[": "【"}
 _FINAL = set("。.！!？?~～")
-_PARTICLE = re.compile("(?:呢|哈|哦|亲|谢谢|谢谢您|感谢|啦|哟|呀|嘛|吧|喔|噢|哒|么么|的|了|thanks|thank you|bye)$", re.I)
-_MARKER = re.compile(r"(?:^|\n|[；;：]|(?<!\d):)\s*(?:\d{1,2}[.、．)）]|[-*•·]|[（(]\d{1,2}[)）]|第?[一二三四五六七八九十]+[、.])\s*$")
+#: What ends a sentence that has no mark: modal tails, farewells, and 的/了 after a short predicate.
+_TAIL = re.compile("(?:呢|哈|哦|亲|谢谢|谢谢您|感谢|啦|哟|呀|嘛|喔|噢|哒|么么|thanks|thank you|bye)$|(?:^|[，,。！!；;\\s])[^，,。！!；;\\s]{1,4}[的了]$", re.I)
+#: Elements without a closing tag, and those whose closing tag may be left out.
+_NO_CLOSING = frozenset("br hr img input meta link wbr col p li td th tr dt dd option".split())
 #: How many parts a list announces.
-_COUNTS = {"两": 2, "二": 2, "三": 3, "四": 4, "五": 5, "2": 2, "3": 3, "4": 4, "5": 5}
-_ANNOUNCED = re.compile("([两二三四五2345])(?:种|个|点|项|步|条)(?:方案|步骤|办法|方法|选择|原因|事项|注意)?[^。！？]{0,6}[：:]")
-_ORDINAL = re.compile("(?:方案|第|步骤)([一二三四五])")
+_NUMBERS = {"一": 1, "两": 2, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10,
+            "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
+_MARKER = re.compile(r"(?:^|\n|[；;：]|(?<!\d):)\s*(?:\d{1,2}[.、．)）]|[-*•·]|[（(]\d{1,2}[)）]|第?[一二三四五六七八九十]+[、.])\s*$")
+_SYMBOL = re.compile("|".join((
+    "(?P<fence>```)",
+    r"(?P<tag></?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)",
+    r"(?P<announced>(?:(?P<steps>分|按|共|有|以下|如下|下列|下面)[^。！？\n]{0,4})(?P<count>[两二三四五六七八九十]|(?<!\d)[2-9])(?:大|个|种|点|项|步|条|类|方面|样)(?P<noun>步骤|方案|办法|方法|选择|原因|事项|注意|要求|情况|途径|渠道|做法|建议|步)?(?P<colon>[^。！？：:，,]{0,6}[：:])?"
+    r"|\b(?P<word>two|three|four|five|six|(?<!\d)[2-9]) (?:steps|options|ways|reasons|points|things|methods)\b[^.!?:\n]{0,12}(?P<ecolon>:)?)",
+    r"(?P<item>(?:(?<![\d.])(?P<digit>\d{1,2})(?:[.．](?!\d)|[、)）])|[（(](?P<paren>\d{1,2})[)）]|(?P<ring>[①-⑳])|(?:第|方案|步骤|其|选项)(?P<han>[一二三四五六七八九十])(?:步|点|种|项|个|条)?|(?P<hand>[一二三四五六七八九十])(?:、|是(?=[^否])))|(?:(?<=\n)|^)\s*(?P<bullet>[-*•·])\s)",
+    "(?P<mark>[()（）\\[\\]【】{}《》“”‘’「」『』\"\n])",
+)))
+_ITEM_START = set("\n：:；;。，,. 　！!？?>")
+
+
+def unfinished(text: str) -> bool:
+    """Whether the pushdown automaton ends with something open: a fence, tag, bracket, quotation or announced list."""
+    stack: list[list] = []  # [kind, symbol, announced, seen]
+
+    def top(kind: str) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == kind), -1)
+
+    for m in _SYMBOL.finditer(text):
+        kind = m.lastgroup if m.lastgroup in ("fence", "tag", "mark") else "announced" if m["announced"] else "item"
+        if m["fence"]:
+            at = top("fence")
+            if at >= 0:
+                del stack[at:]
+            else:
+                stack.append(["fence", "```"])
+        elif top("fence") >= 0:
+            continue
+        elif m["tag"]:
+            name = re.match("</?([A-Za-z0-9]+)", m["tag"])[1].lower()
+            if m["tag"].startswith("</"):
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][:2] == ["tag", name]), -1)
+                if at >= 0:
+                    del stack[at:]
+            elif not m["tag"].endswith("/>") and name not in _NO_CLOSING:
+                stack.append(["tag", name])
+            elif name == "li" and (at := top("list")) >= 0:
+                stack[at][3] += 1
+        elif kind == "announced":
+            count = m["count"] or m["word"]
+            n = int(count) if count.isdigit() else _NUMBERS[count.lower()]
+            # without a colon only steps are sure to follow
+            if n > 1 and (m["colon"] or m["ecolon"] or m["steps"] == "分" and "步" in m[0]):
+                stack.append(["list", m[0], n, 0])
+        elif kind == "item":
+            at = top("list")
+            if at < 0 or m.start() and text[m.start() - 1] not in _ITEM_START:
+                continue
+            number = m["digit"] or m["paren"]
+            k = (int(number) if number else ord(m["ring"]) - 0x245f if m["ring"] else _NUMBERS[m["han"] or m["hand"]] if m["han"] or m["hand"] else stack[at][3] + 1)
+            if k <= stack[at][2]:
+                stack[at][3] = max(stack[at][3], k)
+            if m[0][0] in "（(" or m[0][-1] in ")）":
+                continue
+        else:
+            c = m["mark"]
+            if c in _OPEN:
+                stack.append(["open", c])
+            elif c in _CLOSE:
+                for at in range(len(stack) - 1, -1, -1):  # a stray closer (1), :) pops nothing
+                    if stack[at][0] == "open" and (stack[at][1] == _CLOSE[c] or _SAME.get(stack[at][1]) == _CLOSE[c] or _SAME.get(_CLOSE[c]) == stack[at][1]):
+                        del stack[at]
+                        break
+            elif c == '"':
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] == ["open", '"']), -1)
+                if at >= 0:
+                    del stack[at]
+                else:
+                    stack.append(["open", c])
+            elif c == "\n" and stack and stack[-1][0] == "open" and stack[-1][1] in "‘\"":
+                stack.pop()  # an apostrophe or an inch
+    for entry in stack:
+        if entry[0] in ("fence", "tag") or entry[0] == "list" and entry[3] < entry[2] and (entry[3] or "步" in entry[1]):
+            return True
+        if entry[0] == "open" and entry[1] in "(（[【{《“「『" and text[-1] not in ")）":
+            return True
+    return bool(re.search("<[A-Za-z/][^<>]{0,200}$", text)) or text.endswith("\ufffd") or _MARKER.search(text) is not None
 
 
 def is_truncated(answer: str) -> bool:
-    """Whether the pushdown parser ends outside a final state: something open, or a sentence or list unfinished."""
-    text = _TAG.sub(" ", html.unescape(_THINK.sub("", answer)))
+    """Whether something is left open, or the last sentence has no end."""
+    text = html.unescape(_THINK.sub("", answer))
     text = "".join(c for c in text if unicodedata.category(c) != "Cf" or c == "\u200d").rstrip()
     if not text:
         return False
-    if text.endswith("\ufffd") or text.count("```") % 2:
-        return True
-    stack: list[str] = []
-    for i, c in enumerate(text):
-        if c in _OPEN:
-            stack.append(c)
-        elif c in _CLOSE:
-            opener = _CLOSE[c]
-            for depth in range(len(stack) - 1, -1, -1):  # a stray closer (1), :) pops nothing
-                if stack[depth] == opener or _SAME.get(stack[depth]) == opener or _SAME.get(opener) == stack[depth]:
-                    del stack[depth:]
-                    break
-        elif c == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            elif '"' not in stack:
-                stack.append('"')
-        elif c == "\n" and stack and stack[-1] in "‘\"":
-            stack.pop()
-    if any(c in "(（[【{《“「『" for c in stack) and text[-1] not in ")）":
+    if unfinished(text):
         return True
-    if _MARKER.search(text):
-        return True
-    if (m := _ANNOUNCED.search(text)) and (named := _ORDINAL.findall(text[m.end():])):
-        if max(_COUNTS.get(x, 1) for x in named) < _COUNTS[m[1]]:
-            return True
+    text = _TAG.sub(" ", text).rstrip()
+    if not text:
+        return False
     last = text[-1]
-    if last in _FINAL or last in _CLOSE or last == '"' and '"' not in stack:
+    if last in _FINAL or last in _CLOSE or last in "\"`":
         return False
     if unicodedata.category(last) in ("So", "Sk", "Mn", "Me") or last in "^_>❤♥":
         return False
-    return _PARTICLE.search(text) is None
+    return _TAIL.search(text) is None
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
