@@ -22,6 +22,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,8 @@ _PLACEHOLDER = {"", "null", "none", "nan", "na", "nil", "undefined", "空", "无
 def visible(answer: str) -> str:
     """The answer as a reader sees it: no thinking block, mark-up, entities or invisible characters."""
     text = _TAG.sub(" ", html.unescape(_THINK.sub("", answer)))
+    if text.replace("\n", "").isprintable():  # no invisible character at all
+        return text.strip()
     return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t").strip()
 
 
@@ -152,15 +155,18 @@ _CLASSES = (
     ("M", "一个?(?:智能)?(?:客服)?(?:助手|模型|机器人)|人工智能|语言模型|AI|(?:智能|客服)?(?:助手|机器人)"),
     ("e", "[呢哦哈啊呀吧啦了的～~、 ]+|非常|很|真的|实在|暂时|目前|也|都|就|是|到|给|为|向|对|这里|作为|只是|一名|一款|一位|抱歉|不好意思|对不起|请"),
 )
+#: A clause without any of these classes is derived by no rule.
+_HINT = re.compile("|".join(words for name, words in _CLASSES if name in "BDCXRNW"))
 _CLASS = re.compile("|".join(f"(?P<{name}>{words})" for name, words in _CLASSES) + "|(?P<u>.)", re.S)
 #: What the grammar derives: clauses as class letters, without the empty words e; u is any other text.
 _DERIVED = re.compile("|".join((
-    "[SMY]?N[SYQu]{0,3}A(?:u?[QYI]|$|u{0,4}$)",  # cannot ... answer (this, you, nothing)
+    "[SMY]?N[SYQu]{0,3}A(?:[uS]{0,3}[QYI]|$|u{0,4}$)",  # cannot ... answer (this, you, nothing)
     "Nu{0,2}[SYQ]*H[YQ]*(?:A|H)?(?:I|Q|$)",  # cannot help (you) (deal with) this; cannot give advice
     "(?:N|W)[SY]?(?:Q)[SY]?(?:A|H)",  # cannot on this matter answer
     "W[SY]*A(?:[QYI]|$)", "N[SYQ]*I$", "B(?:[YQ]|$)", "D", "C",
     "R(?:A|Q|H?I)", "[SQM]?X[SM]?u?G", "QX$", "QX[SM]?",
 )))
+_MODEL = re.compile(next(words for name, words in _CLASSES if name == "M"))
 _ENGLISH = re.compile("|".join((
     r"\b(?:i|we)(?:'m| am|'re| are)?[^.!?]{0,24}\b(?:can't|cannot|can not|unable to|not able to|won't be able to|not allowed to|not permitted to|must decline|have to decline|decline)\b"
     r"[^.!?]{0,20}\b(?:help|assist|answer|discuss|respond|comply|talk about|comment|advise|(?:provide|give|offer)[^.!?]{0,16}(?:answer|advice|help|assistance|information on (?:that|this))|(?:that|this) (?:request|question|topic))",
@@ -168,6 +174,7 @@ _ENGLISH = re.compile("|".join((
     r"\bbeyond what (?:i|we)\b|\bnot something (?:i|we) (?:can|am able|are able)|\bi (?:must|have to) (?:decline|refuse)|\boutside (?:of )?(?:my|our) (?:scope|remit|abilities)",
     r"\bas an? (?:ai|language model|virtual assistant|assistant)\b[^.!?]{0,60}(?:can't|cannot|unable|not able)",
 )), re.I)
+_LATIN = re.compile("[A-Za-z]{2} [A-Za-z]")
 _CLAUSE = re.compile("[。！？!?；;\n，,]")
 
 
@@ -180,11 +187,11 @@ def classes(clause: str) -> str:
 def is_refusal(seen: str) -> bool:
     """Whether the grammar derives a clause; whatever is kept from other parties is no refusal."""
     text = seen.replace("’", "'")
-    if _ENGLISH.search(text):
+    if _LATIN.search(text) and _ENGLISH.search(text):
         return True
     model = False
     for clause in _CLAUSE.split(text):
-        form = classes(clause) if clause else ""
+        form = classes(clause) if clause and (_HINT.search(clause) or _MODEL.search(clause)) else ""
         if form and "O" not in form and (_DERIVED.search(form) or model and re.search("^[SM]?N[SYQ]*[AHI]", form)):
             return True
         model = model or "M" in form  # I am but a model: what it cannot do next is what was asked
@@ -196,6 +203,7 @@ def is_refusal(seen: str) -> bool:
 _SCRIPTS = (("ja", re.compile("[\u3041-\u30ff\u31f0-\u31ff]")), ("ko", re.compile("[\uac00-\ud7a3\u1100-\u11ff]")),
             ("ru", re.compile("[\u0400-\u04ff]")), ("ar", re.compile("[\u0600-\u06ff]")), ("th", re.compile("[\u0e00-\u0e7f]")),
             ("el", re.compile("[\u0370-\u03ff]")), ("he", re.compile("[\u0590-\u05ff]")), ("hi", re.compile("[\u0900-\u097f]")))
+_OTHER = re.compile("|".join(script.pattern for _, script in _SCRIPTS))
 _HAN = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 _WORD = re.compile("[a-zà-öø-ÿœ\u0100-\u024f\u1e00-\u1eff]+(?:['’][a-zà-öø-ÿ]+)?")
 #: Frequent function words of Latin-script languages.
@@ -220,16 +228,19 @@ _NAMES = {"en": "英文|英语|english", "zh": "中文|汉语|普通话|chinese|
 _ASKED = {lang: re.compile(f"(?:{names})", re.I) for lang, names in _NAMES.items()}
 
 
+@lru_cache(maxsize=64)  # both sides of a pair have one question
 def language(text: str) -> str | None:
     """The language a text is mostly in, or None where nothing tells."""
     han = len(_HAN.findall(text))
-    for lang, script in _SCRIPTS:
+    for lang, script in _SCRIPTS if _OTHER.search(text) else ():
         n = len(script.findall(text))
         if n >= 3 and n >= (0.15 if lang == "ja" else 0.5) * han:
             latin = sum(map(len, _WORD.findall(text.lower())))
             if lang == "ja" or n >= 0.3 * latin:
                 return lang
     words = _WORD.findall(re.sub(r"[A-Za-z]*\d[A-Za-z0-9]*", " ", text).lower())
+    if not words:
+        return "zh" if han else None
     votes = {lang: sum(w in known for w in words) for lang, known in _WORDS.items()}
     best = max(votes, key=lambda lang: (votes[lang], lang == "en"))
     # a sentence of another language may name a thing in ideographs
@@ -348,7 +359,9 @@ def unfinished(text: str) -> bool:
 def is_truncated(answer: str) -> bool:
     """Whether something is left open, or the last sentence has no end."""
     text = html.unescape(_THINK.sub("", answer))
-    text = "".join(c for c in text if unicodedata.category(c) != "Cf" or c == "\u200d").rstrip()
+    if not text.replace("\n", "").isprintable():
+        text = "".join(c for c in text if unicodedata.category(c) != "Cf" or c == "\u200d")
+    text = text.rstrip()
     if not text:
         return False
     if unfinished(text):
