@@ -120,3 +120,35 @@ def test_answer_quality(spark):
 def test_topics_compatible(spark):
     df = spark.createDataFrame([(["a"], ["a", "b"]), (["generic"], ["money"]), (["generic"], ["stock"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(rules.topics_compatible(F.col("a"), F.col("b"))).collect()] == [True, True, False]
+
+
+#: Typed by hand: a question, its topics in order, its semantic key.
+TOPIC_ROWS = [
+    ("请问多久发货", ["ship_time"], "ship_time:多久发货"), ("什么时候能收到货", ["delivery_time"], "delivery_time:多久到"), ("多久到货", ["delivery_time"], "delivery_time:多久到"),
+    ("物流一般几天到", ["delivery_time"], "delivery_time:多久到"), ("你好，订单什么时候发出", ["ship_time"], "ship_time:多久发货"), ("配送速度怎么样", ["delivery_time"], None),
+    ("快递快吗", ["delivery_time"], None), ("物流有问题怎么办", ["logistics_issue"], None), ("可以特定的配送时间吗", ["delivery_schedule", "delivery_time"], None),
+    ("国际快递多久到", ["international_delivery_time", "delivery_time"], None), ("能开发票吗", ["invoice"], None), ("支持货到付款吗", ["cod"], None),
+    ("可以定制化吗", ["custom"], None), ("怎么联系你们", ["contact"], None), ("客服时间是几点", ["service_hours"], None), ("查询物流在哪", ["logistics_query"], None),
+    ("包裹损坏了", ["damaged_goods", "logistics_issue"], None), ("能到店自提吗", ["pickup"], None), ("退换货政策是什么", ["return"], None), ("售后怎么样", ["aftersales"], None),
+    ("质保几年", ["warranty"], None), ("现货吗", ["stock"], None), ("怎么支付", ["payment"], None), ("更改收货地址", ["address_change"], None),
+    ("要等多久", ["time_generic"], None), ("有优惠吗", ["money"], None), ("是不是正品", ["yesno_generic"], None), ("尺寸多大", ["generic"], None), ("", ["generic"], None),
+    ("运费怎么算", ["money"], None), ("什么时候补货", ["time_generic"], None), ("几点上班", ["generic"], None), ("付款一直失败", ["generic"], None),
+]
+
+
+def test_topics_of_typed_questions(rows):
+    from prefengine.functions import rules
+
+    df = rows([(i, q) for i, (q, *_) in enumerate(TOPIC_ROWS)], "i int, q string")
+    topics = rules.question_topics(F.col("q"))
+    got = {r["i"]: (r["t"], r["k"], r["y"]) for r in df.select("i", topics.alias("t"), rules.semantic_key(F.col("q")).alias("k"), rules.question_type(topics).alias("y")).collect()}
+    for i, (q, want, key) in enumerate(TOPIC_ROWS):
+        assert got[i] == (want, key, want[0]), q
+
+
+def test_topic_files(tmp_path):
+    from prefengine.functions import rules
+
+    (tmp_path / "own.txt").write_text("# note\nsize: 尺码 尺码表 大小\n\ncolour:颜色\n", encoding="utf-8")
+    assert rules.read_topics(tmp_path / "own.txt") == {"size": ("尺码", "大小"), "colour": ("颜色",)}
+    assert list(rules.ZH_SHOP.topics)[:3] == ["invoice", "cod", "custom"] and len(rules.ZH_SHOP.topics) == 19
