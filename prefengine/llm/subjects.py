@@ -11,6 +11,9 @@ Training (on the driver, from at most ``max_labelled`` labelled documents, chose
 3. A logistic model of the features, fitted out of fold (so it is calibrated), is the offset of a chain: the model of
    each subject adds the source and the labels of the subjects before it, shrunk towards no effect.
 
+A subject of the subject table that has no label yet is told by the words of its title, with the shared model and no
+chain of its own; labels that the table does not name are no subjects.
+
 Decoding keeps the ``beam`` most probable label combinations along the chain and returns the best one.
 
 Scoring is map-only.  The broadcast model holds at most ``max_terms`` terms.
@@ -228,12 +231,21 @@ class SubjectModel:
         return held[0][1]
 
 
+def title_terms(title: str) -> list[str]:
+    """The words of a title that may tell its subject."""
+    words = [w for w in re.split(r"[\W_]+|[与和及或的]", title.lower()) if w]
+    return [w for w in words if len(w) >= (2 if _HAN.match(w) else 5)]
+
+
 def train(rows: list[tuple[str, str | None, set[str]]], purity: float = 0.75, least: int = 4,
-          max_terms: int = 50_000) -> SubjectModel | None:
-    """A model from (text, source, subjects) of labelled documents."""
-    subjects = sorted({s for *_, own in rows for s in own})
-    if not subjects:
+          max_terms: int = 1_000_000, titles: dict[str, str] | None = None) -> SubjectModel | None:
+    """A model from (text, source, subjects) of labelled documents; ``titles`` names all subjects there are."""
+    if titles is not None:
+        rows = [(text, source, {s for s in own if s in titles}) for text, source, own in rows]
+    labelled = {s for *_, own in rows for s in own}
+    if not labelled:
         return None
+    subjects = sorted(labelled | set(titles or ()))
     at = {s: i for i, s in enumerate(subjects)}
     sources = sorted({source for _, source, _ in rows if source})
     where = {s: i + 1 for i, s in enumerate(sources)}
@@ -251,21 +263,29 @@ def train(rows: list[tuple[str, str | None, set[str]]], purity: float = 0.75, le
     y = np.zeros((len(rows), m))
     for i, own in enumerate(labels):
         y[i, list(own)] = 1
-    flat = x.reshape(-1, x.shape[2])
-    shared = logistic(flat, y.reshape(-1), np.zeros(flat.shape[1]), np.full(flat.shape[1], 0.05))
+    known = np.array([s in labelled for s in subjects])
+    flat, told = x[:, known].reshape(-1, x.shape[2]), y[:, known].reshape(-1)
+    shared = logistic(flat, told, np.zeros(flat.shape[1]), np.full(flat.shape[1], 0.05))
     offsets = x @ shared
     source = np.zeros((len(rows), len(sources) + 1))
     for i, (_, name, _) in enumerate(rows):
         source[i, where.get(name, 0)] = 1
     chain = np.zeros((m, 1 + m + len(sources) + 1))
     for s in range(m):
+        if subjects[s] not in labelled:
+            chain[s, 0] = 1.0
+            continue
         before = y.copy()
         before[:, s:] = 0
         z = np.concatenate([offsets[:, s:s + 1], before, source], axis=1)
         prior = np.zeros(z.shape[1])
         prior[0] = 1.0
         chain[s] = logistic(z, y[:, s], prior, np.concatenate([[20.0], np.full(z.shape[1] - 1, 5.0)]))
-    return SubjectModel(subjects, sources, learn_terms(table, labels, at_all >= 0, m, purity, least, max_terms), shared, chain)
+    weights = learn_terms(table, labels, at_all >= 0, m, purity, least, max_terms)
+    for s in sorted(set(subjects) - labelled):
+        for word in title_terms(titles[s]):
+            weights.setdefault(word, (at[s], 1.0))
+    return SubjectModel(subjects, sources, weights, shared, chain)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[str, str | None, set[str]]]:
@@ -300,7 +320,8 @@ def assign_subjects(docs: DataFrame, model: SubjectModel | None, beam: int = 4)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/subject_labels.parquet")
-    return assign_subjects(docs, train(labelled_sample(docs, labels, max_labelled=3000)))
+    titles = {r["subject"]: r["title"] or "" for r in spark.read.parquet(f"{sf_dir}/subjects.parquet").collect() if r["subject"]}
+    return assign_subjects(docs, train(labelled_sample(docs, labels, max_labelled=3000), titles=titles))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

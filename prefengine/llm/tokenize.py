@@ -184,21 +184,32 @@ class BacktrackingEncoder:
 
 @cache
 def encoder(path: str) -> BacktrackingEncoder:
-    """One per Python worker and vocabulary file."""
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    """The encoder of a vocabulary file of lines ``base64 rank``."""
+    return _encoder(Path(path).read_bytes())
+
+
+@cache
+def _encoder(lines: bytes) -> BacktrackingEncoder:
+    """One per Python worker and vocabulary."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     tokens = sorted(ranks, key=ranks.__getitem__)
     if [ranks[t] for t in tokens] != list(range(len(tokens))):
-        raise ValueError(f"{path}: ranks must be 0, 1, 2, ...")
+        raise ValueError("ranks must be 0, 1, 2, ...")
     return BacktrackingEncoder(tokens)
 
 
+def _sent(df: DataFrame, vocabulary: str | None):
+    """The vocabulary file, read by the driver and broadcast; executors need not have it."""
+    return df.sparkSession.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_bytes())
+
+
 def encode_corpus(df: DataFrame, text: str = "text", keep: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """``keep`` and ``ids`` (a list of integers) of every row; map-only, no shuffle."""
-    path = vocabulary or default_vocabulary()
+    lines = _sent(df, vocabulary)
     kind = df.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = _encoder(lines.value)
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, max(1, batch.num_rows), 1000):  # a few thousand texts' ids at a time
@@ -215,11 +226,11 @@ def encode_corpus(df: DataFrame, text: str = "text", keep: str = "doc_id", vocab
 
 def decode_corpus(df: DataFrame, ids: str = "ids", keep: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """``keep`` and ``text``: the inverse of ``encode_corpus``; null lists and lists of no ids give ''."""
-    path = vocabulary or default_vocabulary()
+    lines = _sent(df, vocabulary)
     kind = df.schema[keep].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = _encoder(lines.value)
         for batch in batches:
             texts = [coder.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[keep, "text"])

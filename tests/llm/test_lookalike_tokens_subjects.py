@@ -123,6 +123,19 @@ def test_held_out_accuracy():
     assert hit >= 0.97 * total
 
 
+def test_a_subject_without_labels_is_told_by_its_title():
+    titles = {"food": "食品", "law": "法律", "sport": "运动", "mail": "集邮与邮票", "tea": "茶具"}
+    model = subjects.train(labelled(5, 300), titles=titles)
+    assert model.subjects == ["food", "law", "mail", "sport", "tea"]
+    evidence = subjects.Evidence(model.weights, 5)
+
+    def told(text):
+        c, n = evidence.counts(text)
+        return {model.subjects[s] for s in model.decode(subjects.features(c, n) @ model.shared, 0)}
+    assert told("这套邮票很少见。集邮的人都知道。邮票要防潮。说明写在第3节。") == {"mail"} and told("关于登山杖，说明写在第3节。" * 6) == {"sport"} and told("先说结论。") == set()
+    assert subjects.train(labelled(5, 300), titles={"food": "x"}).subjects == ["food"] and subjects.title_terms("物流与配送") == ["物流", "配送"]
+
+
 def test_sentences():
     t = subjects.plain("<p>好的。价格3.50元！</p>\n1. See A1. Next one")
     ends = subjects.sentence_ends(t)
@@ -155,5 +168,6 @@ def test_found_queries(spark):
         if name in queries.oracle_sql():
             same(df, con, queries.oracle_sql()[name])
         else:
-            assert df.count() >= 0
+            rows = df.collect()
+            assert rows and (not name.endswith("_found") or len({tuple(r) for r in rows}) == len(rows)), name
     assert np.all([n.startswith("p") for n in queries.queries()])
