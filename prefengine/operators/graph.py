@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -93,62 +94,81 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def similar_vectors(rows: DataFrame, record: str, vector: str, least: float, pivots: int = 16, slice_rows: int = 2_000) -> DataFrame:
-    """(src, dst, score), src < dst: all pairs with cosine >= least, exactly, without comparing all pairs.
+def cell_plan(least: float, recall: float, most_tables: int = 64) -> tuple[int, int]:
+    """(bits of a cell, tables) of random hyperplanes for which a pair at cosine ``least`` meets with probability ``recall``,
+    at the fewest expected comparisons; (0, 1), one cell for all, where no such plan compares fewer than half of the pairs."""
+    same = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi  # two vectors lie on one side of a hyperplane
+    best = (0.5, 0, 1)
+    for bits in range(1, 25):
+        meet = same ** bits
+        tables = int(np.ceil(np.log(1 - recall) / np.log1p(-meet))) if meet < 1 else 1
+        if tables <= most_tables:
+            best = min(best, (tables / 2.0 ** bits, bits, tables))
+    return best[1], best[2]
 
-    Every row belongs to its nearest of a few pivots.  By the triangle inequality for angles two rows within the angle
-    t of each other meet in the cell of either, if each also visits all cells whose pivot is at most 2t further from it
-    than its own.  A crowded cell is cut into slices of about ``slice_rows`` residents; visitors go to every slice.
+
+def similar_vectors(rows: DataFrame, record: str, vector: str, least: float, recall: float | None = None, block_rows: int = 8_000,
+                    seed: int = 7) -> DataFrame:
+    """(src, dst, score), src < dst: pairs with cosine >= least.
+
+    Exactly all of them by default: rows are cut into blocks of about ``block_rows`` and every two blocks are compared by
+    one matrix product, which is quadratic work.  With ``recall`` rows meet in cells of random hyperplanes instead, in as
+    many tables as a pair at ``least`` needs to meet with that probability (pairs above it more surely); a crowded cell is
+    cut into blocks like the whole table, so no task holds it.  Rows without an id or a vector are left out.
     """
-    sample = rows.orderBy(F.xxhash64(record), record).limit(pivots).toPandas()
-    if sample.empty:
-        return rows.sparkSession.createDataFrame([], "src bigint, dst bigint, score double")
-    centres = _unit(sample[vector])
-    angle = float(np.arccos(np.clip(least, -1, 1)))
+    bits, tables = cell_plan(least, recall) if recall else (0, 1)
+    known = rows.filter(F.col(record).isNotNull() & F.col(vector).isNotNull()).select(F.col(record).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
-    def cells(batches):
+    def in_cells(batches):
         for b in batches:
-            if not len(b):
-                continue
-            away = np.arccos(np.clip(_unit(b[vector]) @ centres.T, -1, 1))
-            home = away.argmin(axis=1)
-            near = away <= away[np.arange(len(b)), home][:, None] + 2 * angle + 1e-9
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "home": cell == home[row], "id": b[record].to_numpy()[row],
-                                "v": [x for x in b[vector].to_numpy()[row]], "own": home[row].astype(np.int32)})
-
-    placed = rows.select(record, vector).mapInPandas(cells, "cell int, home boolean, id bigint, v array<double>, own int")
-    sizes = {r["cell"]: r["n"] for r in placed.filter("home").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    slices = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // slice_rows))])
-    many = F.coalesce(slices[F.col("cell")], F.lit(1))
-    spread = placed.withColumn("slice", F.explode(F.when(F.col("home"), F.array(F.pmod(F.xxhash64("id"), many).cast("int")))
-                                                  .otherwise(F.sequence(F.lit(0), many - 1))))
-    # residents of one cell meet each other across slices, too
-    inside = placed.filter("home").withColumn("home", F.lit(False)).withColumn("slice", F.explode(F.sequence(F.lit(0), many - 1)))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        mine, other = group[group["home"]], group[~group["home"]]
-        out = []
-        if mine.empty or other.empty:
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        a, ia, cell = _unit(mine["v"]), mine["id"].to_numpy(), mine["own"].iloc[0]
-        for at in range(0, len(other), 4_000):
-            some = other.iloc[at:at + 4_000]
-            ib, own = some["id"].to_numpy(), some["own"].to_numpy()
-            score = a @ _unit(some["v"]).T
-            # a pair of two cells is reported in the lower one, a pair of one cell once
-            ok = (score >= least) & np.where(own[None, :] == cell, ia[:, None] < ib[None, :], own[None, :] > cell)
-            i, j = np.nonzero(ok)
-            out.append(pd.DataFrame({"src": np.minimum(ia[i], ib[j]), "dst": np.maximum(ia[i], ib[j]), "score": score[i, j]}))
-        return pd.concat(out)
-
-    return (spread.unionByName(inside).groupBy("cell", "slice")
-            .applyInPandas(compare, "src bigint, dst bigint, score double").distinct())
-
-
-def knn_graph(rows: DataFrame, record: str, vector: str, least: float, k: int = 24) -> DataFrame:
-    """Directed (src, dst, score): the k best neighbours of each row with cosine >= least, ties by dst."""
-    pairs = similar_vectors(rows, record, vector, least)
+            unit = _unit_rows(b.column(1))
+            ids = b.column(0)
+            for t in range(tables):
+                normals = np.random.default_rng(seed * 1000 + t).standard_normal((unit.shape[1], bits))
+                cell = (unit @ normals > 0) @ (1 << np.arange(bits, dtype=np.int64)) if len(unit) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell * tables + t), ids, b.column(1)], names=["cell", "id", "v"])
+
+    placed = known.mapInArrow(in_cells, "cell bigint, id bigint, v array<double>") if bits else known.select(F.lit(0).cast("bigint").alias("cell"), "id", "v")
+    # a row for each cell, of which the plan has at most tables * 2 ** bits
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    spread = (placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+              .select("cell", "block", "id", "v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+    def compare(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        block, ids = group["block"].to_numpy(), group["id"].to_numpy()
+        unit = _unit_rows(group["v"].combine_chunks())
+        mine, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        src, dst, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(mine), 2_000):
+            some = mine[at:at + 2_000]
+            s = unit[some] @ unit[other].T
+            a, b = np.nonzero(s >= least)
+            x, y = ids[some[a]], ids[other[b]]
+            keep = x < y if i == j else x != y
+            src.append(np.minimum(x, y)[keep])
+            dst.append(np.maximum(x, y)[keep])
+            score.append(s[a, b][keep])
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "score": np.concatenate(score)})
+
+    found = spread.groupBy("cell", "i", "j").applyInArrow(compare, "src bigint, dst bigint, score double")
+    # a pair may meet in several tables, and its product may differ in the last digit there
+    return found.groupBy("src", "dst").agg(F.max("score").alias("score"))
+
+
+def _unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Arrow lists of one length as rows of length 1."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def knn_graph(rows: DataFrame, record: str, vector: str, least: float, k: int = 24, recall: float | None = None) -> DataFrame:
+    """Directed (src, dst, score): the k best neighbours of each row with cosine >= least, ties by dst; all by default."""
+    pairs = similar_vectors(rows, record, vector, least, recall)
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
     return (both.withColumn("at", F.row_number().over(W.partitionBy("src").orderBy(F.desc("score"), "dst")))
             .filter(F.col("at") <= k).drop("at"))

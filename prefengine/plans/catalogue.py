@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from prefengine.functions import rules, text
 from prefengine.operators import dedup, external, families, graph, judge, preference, records, rewrite, sampling
+from prefengine.plans import goldens
 from prefengine.plans import tables as T
 from prefengine.plans.lineage import cut
 from prefengine.streaming import increments
@@ -32,11 +33,11 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | goldens.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | goldens.SQL
 
 
 def _list(words) -> str:

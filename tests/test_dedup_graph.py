@@ -127,10 +127,27 @@ def test_similar_vectors_are_exact(rows, least):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= least}
     df = rows([(i, [float(x) for x in m[i]]) for i in range(120)], "i bigint, v array<double>")
-    got = [(r["src"], r["dst"]) for r in graph.similar_vectors(df, "i", "v", least, pivots=7, slice_rows=10).collect()]
+    got = [(r["src"], r["dst"]) for r in graph.similar_vectors(df, "i", "v", least, block_rows=10).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_similar_vectors_in_cells(rows):
+    """Few of the pairs are compared, and those at the threshold are met with the recall asked for."""
+    assert graph.cell_plan(0.35, 0.99) == (0, 1)  # nothing to gain: exact
+    for least, most in ((0.83, 0.25), (0.95, 0.02)):
+        bits, tables = graph.cell_plan(least, 0.99)
+        assert tables / 2 ** bits < most
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(600, 32))
+    m[300:] = m[:300] + rng.normal(scale=0.3, size=(300, 32))
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if u[i] @ u[j] >= 0.95}
+    df = rows([(i, [float(x) for x in m[i]]) for i in range(600)], "i bigint, v array<double>")
+    for size in (8_000, 7):
+        got = [(r["src"], r["dst"]) for r in graph.similar_vectors(df, "i", "v", 0.95, recall=0.99, block_rows=size).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want) and len(want) > 100
+
+
 def test_similar_vectors_of_nothing(rows):
     assert graph.similar_vectors(rows([], "i bigint, v array<double>"), "i", "v", 0.5).count() == 0
 
