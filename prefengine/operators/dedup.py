@@ -77,27 +77,50 @@ def ratio_reaches(least: float):
     return reaches
 
 
-def prefix_pairs(text: Column, least: float) -> Column:
-    """The character pairs of a text of which any text of its block with a sequence ratio >= least must have one.
+def _pairs_of(text: Column) -> Column:
+    """The distinct pairs of neighbouring characters; a shorter text is its own."""
+    n = F.length(text)
+    return F.when(n < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))))
+
+
+def pair_counts(texts: DataFrame, columns: list[str], slots: int = 4_096) -> DataFrame:
+    """One row with ``_counts``: how often the character pairs of each of ``slots`` hash slots occur; it only orders pairs."""
+    some = None
+    for c in columns:
+        one = texts.select(F.explode(_pairs_of(F.col(c))).alias("p"))
+        some = one if some is None else some.unionByName(one)
+    counts = some.groupBy(F.pmod(F.xxhash64("p"), F.lit(slots)).alias("slot")).agg(F.count("*").alias("n"))
+    every = texts.sparkSession.range(slots).withColumnRenamed("id", "slot").join(counts, "slot", "left")
+    inner = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
+    return every.agg(F.transform(inner, lambda x: x["n"]).alias("_counts"))
+
+
+def prefix_pairs(text: Column, least: float, other: Column, counts: Column) -> Column:
+    """The character pairs of a text of which any text with a sequence ratio >= least must have one.
 
     A ratio of ``least`` leaves at most (1 - least) of both texts' characters unmatched, and every unmatched one parts at
-    most one pair, so the distinct pairs that both share are few less than all; in a fixed order (by hash) the first
-    ones, of the number that may be missing and one more, must meet.  Texts of a block differ by at most 3 characters
-    or, beyond 200, by what the ratio allows.
+    most one pair, so the distinct pairs that both share are few less than all; in a fixed order (the rarest first) the
+    first ones, of the number that may be missing and one more, must meet.  ``other``: the least length of the other text.
     """
-    n = F.length(text)
-    pairs = F.when(n < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))))
-    other = F.greatest(n - 3, n * least / (2 - least))
+    n, pairs = F.length(text), _pairs_of(text)
     shared = F.ceil((n + other) * (least / 2 - (1 - least)) - 1 - 1e-9) - (n - 1 - F.size(pairs))
     first = F.greatest(F.size(pairs) - F.greatest(shared, F.lit(1)) + 1, F.lit(1)).cast("int")
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))
-    return F.transform(F.slice(ordered, F.lit(1), first), lambda x: x["p"])
+
+    def place(p: Column) -> Column:
+        h = F.xxhash64(p)
+        return F.struct(F.element_at(counts, (F.pmod(h, F.size(counts)) + 1).cast("int")).alias("n"), h.alias("h"), p.alias("p"))
+
+    return F.transform(F.slice(F.array_sort(F.transform(pairs, place)), F.lit(1), first), lambda x: x["p"])
 
 
-def near_texts(texts: DataFrame, text: str, least: float) -> DataFrame:
+def near_texts(texts: DataFrame, text: str, least: float, counts: DataFrame | None = None) -> DataFrame:
     """(ta, tb): all ordered pairs of distinct texts (and each with itself) of a common block with a ratio >= least."""
     keyed = texts.select(F.col(text).alias("t")).distinct()
-    keyed = keyed.select("t", F.explode(block_keys(F.col("t"))).alias("k")).select("t", "k", F.explode(prefix_pairs(F.col("t"), least)).alias("p"))
+    counts = pair_counts(keyed, ["t"]) if counts is None else counts
+    n = F.length("t")
+    other = F.greatest(n - 3, n * least / (2 - least))  # texts of a block differ by 3 characters or, beyond 200, by what the ratio allows
+    keyed = (keyed.join(F.broadcast(counts)).select("t", F.explode(prefix_pairs(F.col("t"), least, other, F.col("_counts"))).alias("p"))  # counts is one row
+             .select("t", "p", F.explode(block_keys(F.col("t"))).alias("k")))
     a, b = (keyed.select("k", "p", F.col("t").alias(x)) for x in ("ta", "tb"))
     near = a.join(b, ["k", "p"]).filter(ratio_bound(F.col("ta"), F.col("tb")) >= least).select("ta", "tb").distinct()
     return near.filter(ratio_reaches(least)("ta", "tb"))
@@ -133,13 +156,28 @@ def fuzzy_dedup(df: DataFrame, record: str, question: str, answer: str, rank: li
                 a_least: float = 0.92, pair_least: float = 0.95) -> DataFrame:
     """(record, kept): a row goes when a kept, better one of a common block has nearly its question and its answer.
 
-    Questions are compared once per pair of distinct texts; the dear answer comparison only runs on what is left.
+    Questions are compared once per pair of distinct texts.  Rows of near questions are joined on rare character pairs of
+    their answers by exact prefix filters, so a question of very many answers does not give all their pairs.
     """
-    rows = df.select(F.col(record), F.col(question), F.col(answer), F.struct(*rank).alias("_rank"))
-    left = rows.select(F.col(record).alias("loser"), F.col(question).alias("ta"), F.col(answer).alias("aa"), F.col("_rank").alias("_ra"))
-    right = rows.select(F.col(record).alias("winner"), F.col(question).alias("tb"), F.col(answer).alias("ab"), F.col("_rank").alias("_rb"))
-    both = near_texts(df, question, q_least).join(left, "ta").join(right, "tb").filter(F.col("_ra") < F.col("_rb"))
-    both = both.select("loser", "winner", "aa", "ab", F.concat("ta", F.lit("||"), "aa").alias("pa"), F.concat("tb", F.lit("||"), "ab").alias("pb"))
+    joined = F.concat(F.col("q"), F.lit("||"), F.col("a"))
+    rows = df.select(F.col(record).alias("r"), F.col(question).alias("q"), F.col(answer).alias("a"), F.struct(*rank).alias("rank")).withColumn("b", joined)
+    counts = cut(pair_counts(rows, ["q", "a"]))
+
+    def short(c: str, least: float) -> Column:
+        """Prefix pairs of a column, whatever the other text's length, with a letter that says of which column."""
+        found = prefix_pairs(F.col(c), least, F.length(c) * (least / (2 - least)), F.col("_counts"))
+        return F.transform(found, lambda p: F.concat(F.lit(c), p))
+
+    # rows of near questions meet only where their answers, or both together, may be near, too
+    keyed = (rows.join(F.broadcast(counts)).withColumn("g", F.explode(F.concat(short("a", a_least), short("b", pair_least)))).select("r", "q", "rank", F.length("a").alias("n"), "g"))
+    left = keyed.select(F.col("q").alias("ta"), "g", F.col("r").alias("loser"), F.col("rank").alias("_ra"), F.col("n").alias("_na"))
+    right = keyed.select(F.col("q").alias("tb"), "g", F.col("r").alias("winner"), F.col("rank").alias("_rb"), F.col("n").alias("_nb"))
+    longest = F.greatest("_na", "_nb") - F.least("_na", "_nb")
+    met = (near_texts(df, question, q_least, counts).join(left, "ta").join(right, ["tb", "g"])
+           .filter((F.col("_ra") < F.col("_rb")) & (longest <= (F.length("ta") + F.length("tb") + 4 + F.col("_na") + F.col("_nb")) * (1 - min(a_least, pair_least))))
+           .select("loser", "winner").distinct())
+    one, two = (rows.select(F.col("r").alias(name), F.col("a").alias(f"a{x}"), F.col("b").alias(f"p{x}")) for name, x in (("loser", "a"), ("winner", "b")))
+    both = met.join(one, "loser").join(two, "winner")
     edges = cut(both.filter(((ratio_bound(F.col("aa"), F.col("ab")) >= a_least) & ratio_reaches(a_least)("aa", "ab"))
                             | ((ratio_bound(F.col("pa"), F.col("pb")) >= pair_least) & ratio_reaches(pair_least)("pa", "pb"))).select("loser", "winner"))
     return greedy_survivors(df, edges, record)
@@ -154,6 +192,15 @@ def funnel(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def filter_funnel(df: DataFrame, kept: Column, keys: list[Column]) -> DataFrame:
+    """(at, stage, rows) of all rows, those kept and the distinct keys of those, in one pass and one shuffle."""
+    own = [F.when(kept, k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    groups = df.select(kept.alias("_kept"), *own).groupBy("_kept", *[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = groups.agg(n(F.col("n")).alias("raw"), n(F.when(F.col("_kept"), F.col("n"))).alias("kept"), n(F.when(F.col("_kept"), 1)).cast("bigint").alias("distinct"))
+    return one.selectExpr("stack(3, 0, 'raw', raw, 1, 'after_filter', kept, 2, 'after_exact_dedup', distinct) as (at, stage, rows)")
+
+
 def top_values(df: DataFrame, value: Column, n: int = 10) -> DataFrame:
     """The n most frequent values, ties by value."""
     return df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)

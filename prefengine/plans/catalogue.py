@@ -70,7 +70,8 @@ def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT 0 AS at, 'raw' AS stage, count(*) AS rows FROM {T.QA} UNION ALL SELECT 1, 'after_filter', count(*) FROM {_KEPT}
   UNION ALL SELECT 2, 'after_exact_dedup', count(*) FROM {_DEDUP} WHERE best = idx""")
 def clean_funnel(spark, d):
-    return dedup.funnel({"raw": T.qa(spark, d), "after_filter": _kept(spark, d), "after_exact_dedup": _deduplicated(spark, d).filter("duplicate_of is null")})
+    kept = dedup.drop_reason(F.col("question"), F.col("answer")).isNull()
+    return dedup.filter_funnel(T.qa(spark, d), kept, [text.squeezed(F.col("question")), text.squeezed(F.col("answer"))])
 
 
 @query(f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM (SELECT {_REASON} AS reason FROM {T.QA}) GROUP BY 1")

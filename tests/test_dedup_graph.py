@@ -226,3 +226,30 @@ def test_nearest_cuts_equal_scores_by_dst(rows):
     df = rows([(i, [1.0, 0.0]) for i in range(40, 0, -1)], "i bigint, v array<double>").coalesce(1)
     got = graph.nearest(df.filter("i = 40"), df, "i", "v", 3, -1.0).collect()
     assert sorted(r["dst"] for r in got) == [1, 2, 3]
+
+
+def test_a_question_of_many_answers(rows):
+    """The edges equal those of all pairs, and few pairs of the one question are met."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    words = [chr(0x4e00 + i) for i in range(400)]
+    said = ["".join(rng.choice(words) for _ in range(rng.randint(8, 40))) for _ in range(60)]
+    said += ["".join(c if rng.random() > 0.04 else rng.choice(words) for c in a) for a in said[:40]]
+    q = "这个问题有很多不同的回答应该怎么办才好呀"  # with one letter more still of the same length band
+    data = [(i, q if i % 5 else q + "呢", a, -i) for i, a in enumerate(dict.fromkeys(said))]
+    got = {r["idx"] for r in dedup.fuzzy_dedup(rows(data, "idx int, q string, a string, r int"), "idx", "q", "a", ["r"]).filter("kept").collect()}
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
+    kept = []
+    for i, qi, a, _ in data:
+        if not any(ratio(a, b) >= 0.92 or ratio(f"{qi}||{a}", f"{qj}||{b}") >= 0.95 for _, qj, b, _ in kept):
+            kept.append((i, qi, a, 0))
+    assert got == {k[0] for k in kept} and len(got) < len(data)
+
+
+def test_funnel_in_one_pass(rows):
+    df = rows([("a", True), ("a", True), ("b", True), ("c", False)], "q string, k boolean")
+    got = [tuple(r) for r in dedup.filter_funnel(df, F.col("k"), [F.col("q")]).collect()]
+    assert got == [(0, "raw", 4), (1, "after_filter", 3), (2, "after_exact_dedup", 2)]
+    assert [r["rows"] for r in dedup.filter_funnel(df.limit(0), F.col("k"), [F.col("q")]).collect()] == [0, 0, 0]
