@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.llm._packed import ID_BITS, fold_batch, frequent, of_text, packed_parts, prefix_keys, source_texts, text_hash, text_tables, to_text, unpacked, within
+from prefengine.llm._packed import ID_BITS, fold_batch, folded_texts, frequent, of_text, packed_parts, prefix_keys, source_texts, text_hash, text_tables, to_text, unpacked, within
 from prefengine.llm._sketch import order_sketches
 from prefengine.llm._text import trigrams
 from prefengine.operators.graph import connected_components
@@ -208,10 +208,12 @@ def duplicate_groups(df: DataFrame, record: str, columns: list[str], threshold:
     Groups are the connected components of the texts' links; the records of one text share a group, and are never paired.
     """
     source = source_texts(df, record, F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns]))
-    texts, members = text_tables(source, how.get("min_chars", 40), how.get("bits", ID_BITS))
+    fold_how = how.get("min_chars", 40), how.get("bits", ID_BITS)
+    texts = text_tables(source, *fold_how)[0]
     node = lambda doc, more: F.struct(F.col(doc).alias("doc"), F.col(more).alias("more"))
     links = written(similar_texts(texts, source, threshold, **how).select(node("a", "more_a").alias("src"), node("b", "more_b").alias("dst")))
-    members = written(members.select(node("doc", "more").alias("text"), "record"))
+    # a pass of its own, which moves ids and no texts
+    members = written(folded_texts(source, *fold_how).select(node("doc", "more").alias("text"), "record").distinct())
     parts = connected_components(members.select("text").distinct(), links, "text")
     degree = (links.select(F.col("src").alias("text")).unionByName(links.select(F.col("dst").alias("text"))).groupBy("text").agg(F.count("*").alias("links")))
     placed = written(members.join(parts.withColumnRenamed("node", "text"), "text").join(degree, "text", "left"))
