@@ -94,7 +94,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def cell_plan(least: float, recall: float, most_tables: int = 64) -> tuple[int, int]:
+def cell_plan(least: float, recall: float, most_tables: int = 24) -> tuple[int, int]:
     """(bits of a cell, tables) of random hyperplanes for which a pair at cosine ``least`` meets with probability ``recall``,
     at the fewest expected comparisons; (0, 1), one cell for all, where no such plan compares fewer than half of the pairs."""
     same = 1 - np.arccos(np.clip(least, -1, 1)) / np.pi  # two vectors lie on one side of a hyperplane
