@@ -169,3 +169,14 @@ def records_of(variants: DataFrame, families: DataFrame, cluster: str, question:
         F.array(F.struct(F.lit("user").alias("from"), F.col(question).alias("value")),
                 F.struct(F.lit("assistant").alias("from"), F.col("rep_answer").alias("value"))).alias("conversations"),
         F.struct(F.col(cluster), F.col("support").alias("support_count"), F.col("score").alias("quality_score"), F.col("stance")).alias("metadata"))
+
+
+def first_variants(members: DataFrame, keys: list[str], value: str, order: list[Column], n: int = 10) -> DataFrame:
+    """(keys, variants): the first n distinct values of each group in the order of their first occurrence.
+
+    Occurrences are aggregated by value before the group is ranked, and the group is cut before it is collected.
+    """
+    once = members.groupBy(*keys, value).agg(F.min(F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])).alias("_first"))
+    few = once.withColumn("_at", F.row_number().over(W.partitionBy(*keys).orderBy("_first"))).filter(F.col("_at") <= n)
+    found = F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value])
+    return few.groupBy(*keys).agg(found.alias("variants"))

@@ -44,6 +44,12 @@ def best_step(log: DataFrame, run: str, step: str, metric: str, lower_is_better:
                                           F.struct(F.col(metric) * sign, F.col(step))).alias("b")).select(run, F.col("b.s").alias("best_step"), F.col("b.v").alias("best_value"))
 
 
+def best_checkpoint(summary: Column, state: Column, folder: Column) -> Column:
+    """The best checkpoint's path: what the run's summary says, else the trainer's state, else the output folder; blank is none."""
+    said = [F.nullif(F.trim(c), F.lit("")) for c in (summary, state, folder)]
+    return F.coalesce(*said)
+
+
 def experiment_summary(runs: DataFrame, training: DataFrame, judged: DataFrame, run: str, default: Column) -> DataFrame:
     """Every run with what is known of it; a missing setting is read from the run's name."""
     joined = runs.join(training, run, "left").join(judged, run, "left")

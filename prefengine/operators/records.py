@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefengine.functions.text import contains_any
+from prefengine.functions.text import clean_text, contains_any, dedup_key
 
 
 def to_messages(turns: Column) -> Column:
@@ -76,3 +76,28 @@ def pair_record(record: str, prompt: Column, chosen: Column, rejected: Column, r
 def by_index(items: Column, index: Column) -> Column:
     """The element whose index field is the given one, or null."""
     return F.try_element_at(F.filter(items, lambda x: x["index"] == index), F.lit(1))
+
+
+def cleaned_pairs(rows: DataFrame, place: str, conversations: str = "conversations", record: str = "id", prefix: str = "sample") -> DataFrame:
+    """(place, source_id, question, answer, question_norm, answer_norm) of the first two turns, cleaned again.
+
+    A row without an id is named by its place; rows of fewer than two turns are left out.
+    """
+    turn = lambda i: clean_text(F.try_element_at(F.col(conversations), F.lit(i))["value"])
+    out = rows.filter(F.size(conversations) >= 2).select(
+        F.col(place).alias("place"), F.coalesce(F.col(record), F.format_string(f"{prefix}_%06d", F.col(place))).alias("source_id"), turn(1).alias("question"), turn(2).alias("answer"))
+    return out.withColumns({"question_norm": dedup_key(F.col("question")), "answer_norm": dedup_key(F.col("answer"))})
+
+
+def pair_cache(ranked: DataFrame, judged: DataFrame, record: str = "id", prompt: str = "prompt", candidates: str = "candidates", scores: str = "scores") -> DataFrame:
+    """(record, prompt, chosen, rejected, ranking_brief) of the judged sets whose best and worst candidate and scores are there.
+
+    ``candidates`` and ``scores`` are arrays with an index field; sets without a pair, or with an index that names nothing,
+    are left out.
+    """
+    own = ranked.select(F.col(record), F.col(prompt).alias("prompt"), F.col(candidates).alias("_c"), F.col(scores).alias("_s")).join(judged, record)
+    pick = lambda c, at: by_index(F.col(c), F.col(at))
+    out = own.select(F.col(record), "prompt", pick("_c", "best_index")["content"].alias("chosen"), pick("_c", "worst_index")["content"].alias("rejected"),
+                     F.struct("score_delta", "best_score", "worst_score", "best_index", "worst_index", pick("_s", "best_index").alias("chosen_scores"),
+                              pick("_s", "worst_index").alias("rejected_scores")).alias("ranking_brief"))
+    return out.filter(F.col("chosen").isNotNull() & F.col("rejected").isNotNull() & F.col("ranking_brief.chosen_scores").isNotNull() & F.col("ranking_brief.rejected_scores").isNotNull())

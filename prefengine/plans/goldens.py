@@ -187,6 +187,37 @@ def typed_dialogue_reasons(spark, d):
     return t.select("id", records.dialogue_reason(F.col("m"), ("微信",)).alias("reason"))
 
 
+@table("""SELECT * FROM (VALUES (0, 'x', '发货吗', '可以的。 请说', '发货吗', '可以的请说'), (1, 'sample_000001', '好', '', '好', '')) t(place, source_id, question, answer, question_norm, answer_norm)""")
+def typed_cleaned_pairs(spark, d):
+    data = [(0, "x", [("user", "<b>发货吗</b>"), ("gpt", "可以的。请说")]), (1, None, [("user", "好"), ("gpt", None)]), (2, "y", [("user", "一")]), (3, "z", None)]
+    t = spark.createDataFrame(data, "place int, id string, conversations array<struct<from:string,value:string>>")
+    return records.cleaned_pairs(t, "place")
+
+
+@table("SELECT * FROM (VALUES ('a', '甲', '乙', 25.0::DOUBLE, 1, 0, 1, 0)) t(id, chosen, rejected, delta, best_index, worst_index, chosen_closure, rejected_closure)")
+def typed_pair_cache(spark, d):
+    """b has no second candidate, c no valid scores."""
+    s = lambda i, c: (i, 0, 1, c, 1, 4, 50.0, "")
+    data = [("a", "问", [(0, "乙"), (1, "甲")], [s(0, 0), s(1, 1)]), ("b", "问", [(0, "乙")], [s(0, 0), s(1, 1)]), ("c", "问", [(0, "乙"), (1, "甲")], [s(0, 0)])]
+    t = spark.createDataFrame(data, "id string, prompt string, candidates array<struct<index:int,content:string>>, "
+                                    "scores array<struct<index:int,hallucination:int,accuracy:int,closure:int,auto_resolve:int,satisfaction:int,overall_score:double,rationale:string>>")
+    b = F.col("ranking_brief")
+    return records.pair_cache(t, preference.judged_pairs(t)).select("id", "chosen", "rejected", b["score_delta"].alias("delta"), b["best_index"].alias("best_index"), b["worst_index"].alias("worst_index"),
+                                                                    b["chosen_scores"]["closure"].alias("chosen_closure"), b["rejected_scores"]["closure"].alias("rejected_closure"))
+
+
+@table("SELECT * FROM (VALUES (1, '甲|乙'), (2, '丙')) t(c, variants)")
+def typed_first_variants(spark, d):
+    t = spark.createDataFrame([(1, 3, "丁"), (1, 0, "甲"), (1, 1, "乙"), (1, 2, "甲"), (2, 5, "丙")], "c int, i int, q string")
+    return families.first_variants(t, ["c"], "q", [F.col("i")], 2).select("c", F.array_join("variants", "|").alias("variants"))
+
+
+@table("SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, NULL)) t(id, best)")
+def typed_best_checkpoints(spark, d):
+    t = spark.createDataFrame([(1, "a", "b", "c"), (2, None, "b", "c"), (3, " ", "", "c"), (4, None, None, None)], "id int, x string, y string, z string")
+    return t.select("id", judge.best_checkpoint(F.col("x"), F.col("y"), F.col("z")).alias("best"))
+
+
 # --- files and caches ---------------------------------------------------------------------------------------------------
 
 def _file(spark: SparkSession, name: str, said: str) -> str:
@@ -217,6 +248,32 @@ def typed_json_array(spark, d):
     return files.read_json_array(spark, _file(spark, "infer.json", json.dumps([{"id": "1"}, {"id": "2"}], indent=1)), files.CONVERSATION).select("id")
 
 
+@table("SELECT * FROM (VALUES (1, '1'), (2, '1'), (2, '2'), (3, '1'), (3, '2')) t(of, id)")
+def typed_json_array_limits(spark, d):
+    from prefengine.sources import files
+
+    path = _file(spark, "few.json", json.dumps([{"id": "1"}, {"id": "2"}]))
+    out = None
+    for of, limit in ((0, -1), (1, 1), (2, 2), (3, None)):
+        one = files.read_json_array(spark, path, files.CONVERSATION, limit).select(F.lit(of).alias("of"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@table("SELECT true AS in_order, 100 AS rows")
+def typed_ordered_lines(spark, d):
+    """The files of an ordered write follow each other, and so do the lines within them."""
+    from prefengine.sources import files
+
+    path = f"{checkpoint_folder(spark)}/typed-files/ordered"
+    files.write_json_lines(spark.range(100).select(F.pmod(F.col("id") * 37, F.lit(100)).alias("id")).repartition(4), path, order=[F.col("id")])
+    t = spark.read.text(path).select(F.get_json_object("value", "$.id").cast("int").alias("id"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    each = t.groupBy("file").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("at", "id"))).alias("rows"))
+    inner = each.select("file", "lo", "hi", "n", (F.transform("rows", lambda x: x["id"]) == F.sort_array(F.transform("rows", lambda x: x["id"]))).alias("ok"))
+    whole = inner.agg(F.array_sort(F.collect_list(F.struct("file", "lo", "hi"))).alias("f"), F.sum("n").cast("int").alias("rows"), F.min("ok").alias("ok"))
+    return whole.select((F.col("ok") & (F.transform("f", lambda x: x["lo"]) == F.sort_array(F.transform("f", lambda x: x["lo"])))).alias("in_order"), "rows")
+
+
 @table("SELECT * FROM (VALUES ('train', '1'), ('validation', '1')) t(split, id)")
 def typed_splits(spark, d):
     from prefengine.sources import files

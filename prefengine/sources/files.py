@@ -7,7 +7,7 @@ import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -22,9 +22,16 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: T.Struct
     return rows.filter("_broken is null").drop("_broken"), rows.filter("_broken is not null").select("_broken")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The elements of one JSON array per file, whatever the file is called."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
+    """The elements of one JSON array per file, whatever the file is called; of a limit the first ones (below 0: none).
+
+    A file whose text does not begin with [ is no list, and refused.
+    """
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).head()
+    if first is not None and first[0] != "[":
+        raise ValueError(f"{path} must hold a JSON list")
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows if limit is None else rows.limit(max(0, limit))
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], schema: T.StructType) -> DataFrame:
@@ -43,7 +50,9 @@ def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
     return state.select(F.explode("log_history").alias("values")).select(F.col("values")["step"].alias("step"), "values")
 
 
-def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
+def write_json_lines(df: DataFrame, path: str, append: bool = False, order: list[Column] | None = None) -> None:
+    """One JSON line for each row; with ``order`` the files, in the order of their names, hold the rows in that order."""
+    df = df if order is None else df.orderBy(*order)  # by ranges, no single task
     df.write.mode("append" if append else "overwrite").json(path)
 
 

@@ -25,6 +25,9 @@ def test_json_array_and_trainer_state(spark, tmp_path):
     p = tmp_path / "infer.jsonl"
     p.write_text(json.dumps([{"id": "1"}, {"id": "2"}], indent=1))
     assert files.read_json_array(spark, str(p), files.CONVERSATION).count() == 2
+    (tmp_path / "object.json").write_text('\n {"id": "1"}')
+    with pytest.raises(ValueError, match="must hold a JSON list"):
+        files.read_json_array(spark, str(tmp_path / "object.json"), files.CONVERSATION)
     s = tmp_path / "state.json"
     s.write_text(json.dumps({"log_history": [{"step": 1, "loss": 0.5}, {"step": 2, "eval/loss": 0.4}]}))
     got = files.read_trainer_state(spark, str(s)).collect()
