@@ -300,8 +300,10 @@ def _digests(columns: list[pa.Array]) -> pa.Array:
 
 def look_alikes(df: DataFrame, record: str, columns: list[str]) -> DataFrame:
     """(record_a, record_b): records without nulls whose columns all look the same while one differs in code points."""
-    rows = df.select(F.col(record).alias("r"), *columns).dropna()
-    words = Vocabulary(df.sparkSession, spellings(rows, columns))
+    # names of our own, whatever the columns of the input are called
+    own = [f"_c{i}" for i in range(len(columns))]
+    rows = df.select(F.col(record).alias("r"), *[F.col(c).alias(n) for c, n in zip(columns, own, strict=True)]).dropna()
+    words = Vocabulary(df.sparkSession, spellings(rows, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = words.trie()

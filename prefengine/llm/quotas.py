@@ -133,8 +133,8 @@ def quota_sample(records: DataFrame, record: str, category: Column, margins: lis
     # the product in decimals: 0.07 x 400 is 28, not a little more
     need = F.greatest(F.coalesce(F.col("min_rows"), F.lit(0)).cast("decimal(28,9)"),
                       F.coalesce(F.col("target_share"), F.lit(0.0)).cast("decimal(14,9)") * F.col("sample_rows").cast("decimal(14,0)"))
-    report = (targets.withColumn("name", F.col("category")).withColumn("category", category_name(F.col("category")))
-              .join(plans, "plan").join(F.broadcast(spark.createDataFrame(conflicts, "plan string, conflict boolean")), "plan")
+    report = (targets.select("plan", F.col("category").alias("name"), category_name(F.col("category")).alias("category"), "target_share", "min_rows")
+              .join(plans.select("plan", "sample_rows"), "plan").join(F.broadcast(spark.createDataFrame(conflicts, "plan string, conflict boolean")), "plan")
               .join(F.broadcast(total), "category", "left").join(drawn, ["plan", "category"], "left")
               .select("plan", "name", "target_share", "min_rows", "sample_rows", F.coalesce("supply", F.lit(0)).alias("supply"),
                       F.coalesce("drawn", F.lit(0)).alias("drawn"), need.alias("needed"), "conflict")

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prefengine.llm import lookalike, subjects, tokenize
 from tests.conftest import DATA
@@ -20,6 +21,8 @@ def test_look_alikes(rows):
     one = {r["idx"]: (r["q"], r["a"]) for r in lookalike.one_form(df, ["q", "a"]).collect()}
     assert one[1] == one[2] == one[3] and one[7][0] is None and one[4] != one[1]
     assert lookalike.look_alikes(df.limit(0), "idx", ["q", "a"]).count() == 0
+    clash = df.select(F.col("idx").alias("_seen"), F.col("q").alias("r"), F.col("a").alias("_raw"), F.lit(1).alias("lo"))
+    assert sorted(map(tuple, lookalike.look_alikes(clash, "_seen", ["r", "_raw"]).collect())) == got
 
 
 def normal(text, trie):

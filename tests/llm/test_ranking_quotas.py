@@ -151,6 +151,14 @@ def test_no_records(rows):
     assert sample.count() == 0 and report.first()["supply"] == 0
 
 
+def test_clashing_columns_and_conflicting_minimums(rows):
+    targets = rows([("p", "a", 0.5, 30, 1, 1, "x"), ("p", "b", 0.5, 30, 1, 1, "x"), ("p", None, 0.1, None, 1, 1, "x")],
+                   "plan string, category string, target_share double, min_rows bigint, supply int, sample_rows int, name string")
+    sample, report = quotas.quota_sample(records(rows), "id", F.col("kind"), [F.col("source")], targets, rows([("p", 40, 3)], "plan string, sample_rows bigint, target_share int"))
+    got = {r["name"]: (r["supply"], r["drawn"], float(r["gap"]), r["conflict"]) for r in report.collect()}
+    assert got == {"a": (180, 20, 10, True), "b": (90, 20, 10, True), None: (0, 0, 4, True)} and sample.count() == 40
+
+
 def test_exact_products(rows):
     r = rows([(f"r{i}", "a", "s") for i in range(28)], "id string, kind string, source string")
     targets = rows([("p", "a", 0.07, 0)], "plan string, category string, target_share double, min_rows bigint")
