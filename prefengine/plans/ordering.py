@@ -20,13 +20,14 @@ def running_total(df: DataFrame, order: list[Column], weight: Column, name: str)
     """df with the sum of the (whole-number) weights up to and including each row."""
     placed = cut(df.withColumn("_weight", weight.cast("bigint")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.sum("_weight").alias("n")).collect()}
-    before, run = [], 0
+    starts, run = [], 0
     for p in sorted(totals):
-        before += [F.lit(p), F.lit(run)]
+        starts.append((p, run))
         run += totals[p] or 0
-    start = F.create_map(*before)[F.col("_part")] if before else F.lit(0)
+    # a row for each partition
+    start = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     upto = F.sum("_weight").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return placed.withColumn(name, (upto + start).cast("bigint")).drop("_part", "_weight")
+    return placed.join(F.broadcast(start), "_part").withColumn(name, (upto + F.col("_start")).cast("bigint")).drop("_part", "_weight", "_start")
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
