@@ -142,7 +142,8 @@ def strip_edges(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Lower case without edge marks, blanks and marks: the comparison key of a text that is clean already."""
-    return F.regexp_replace(F.regexp_replace(strip_edges(F.lower(c)), "(?U)\\s+", ""), NORM_CLASS, "")
+    low = F.lower(c)  # the wide tilde is the only edge mark that stays within a text
+    return F.regexp_replace(F.when(F.contains(low, F.lit("～")), strip_edges(low)).otherwise(low), "(?U)[\\s" + NORM_CLASS[1:], "")
 
 
 def dedup_key(c: Column) -> Column:
@@ -153,7 +154,8 @@ def dedup_key(c: Column) -> Column:
 def low_value(c: Column, least: int, stop: tuple[str, ...]) -> Column:
     """Whether nothing but marks, a stop phrase or fewer than ``least`` characters are left."""
     core = strip_edges(F.coalesce(c, F.lit("")))
-    return (F.length(core) < max(1, least)) | core.isin(*stop) | core.rlike("(?U)^[\\W_]+$")
+    far = max([least, *map(len, stop)])  # two letters or digits with so many characters between are in the core, which settles it
+    return ~F.coalesce(c, F.lit("")).rlike(rf"(?s)[\p{{L}}\p{{Nd}}].{{{far},}}?[\p{{L}}\p{{Nd}}]") & ((F.length(core) < max(1, least)) | core.isin(*stop) | core.rlike("(?U)^[\\W_]+$"))
 
 
 def low_value_question(c: Column, least: int = 2) -> Column:

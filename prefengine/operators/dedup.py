@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from prefengine.functions.text import low_value_answer, low_value_question
-from prefengine.plans.lineage import cut
+from prefengine.plans.lineage import cut, written
 
 
 def drop_reason(question: Column, answer: Column, min_question: int = 2, min_answer: int = 4) -> Column:
@@ -38,6 +39,12 @@ def keep_best(df: DataFrame, keys: list[str], best: list[Column], record: str) -
     return out.withColumn("duplicate_of", F.when(F.col("_best") != F.col(record), F.col("_best"))).drop("_best")
 
 
+def best_of(df: DataFrame, keys: list[str], rank: list[str]) -> DataFrame:
+    """(keys, rank) of the best row of each key, in one shuffle; it is sorted by a hash of the key, not by its texts."""
+    top = df.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(F.max(F.struct(*rank)).alias("_best"))
+    return top.select(*keys, "_best.*")
+
+
 def block_keys(text: str | Column) -> Column:
     """Two keys of a text: length band with the first, and with the last eight characters."""
     c = F.col(text) if isinstance(text, str) else text
@@ -77,6 +84,40 @@ def ratio_reaches(least: float):
     return reaches
 
 
+def rows_reach(q_least: float, a_least: float, pair_least: float):
+    """A function of question, answer, question, answer: near questions, and near answers or both together near."""
+    def near(x: str, y: str, least: float) -> bool:
+        return x == y or SequenceMatcher(None, x, y).ratio() >= least
+
+    @F.pandas_udf(BooleanType())
+    def reach(qa: pd.Series, aa: pd.Series, qb: pd.Series, ab: pd.Series) -> pd.Series:
+        out = [near(q, p, q_least) and (near(a, b, a_least) or near(f"{q}||{a}", f"{p}||{b}", pair_least)) for q, a, p, b in zip(qa, aa, qb, ab, strict=True)]
+        return pd.Series(out, dtype=bool)
+
+    return reach
+
+
+@F.pandas_udf(StructType([StructField("s0", LongType()), StructField("s1", LongType())]))
+def parities(text: pd.Series) -> pd.DataFrame:
+    """128 bits of a text: whether the characters of each of 128 hash slots occur an odd number of times.
+
+    A character that only one of two texts has changes one bit, so the bits that differ are at most the unmatched
+    characters; the bits of two texts in a row are the exclusive or of both.
+    """
+    texts = ["" if t is None else t for t in text]
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
+    at = np.repeat(np.arange(len(texts), dtype=np.int64) * 128, [len(t) for t in texts])
+    odd = np.bincount(at + ((code * np.uint32(2654435761)) >> np.uint32(25)), minlength=128 * len(texts)) & 1
+    bits = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view("<i8")
+    return pd.DataFrame({"s0": bits[:, 0], "s1": bits[:, 1]})
+
+
+def parity_allows(bits: tuple[Column, Column], n: Column, other: Column, least: float) -> Column:
+    """Whether texts of these lengths, whose parities differ in these bits, may have a sequence ratio >= least."""
+    apart = F.greatest(F.bit_count(bits[0]) + F.bit_count(bits[1]), F.abs(n - other))
+    return apart <= (n + other) * (1 - least) + 1e-6
+
+
 def _pairs_of(text: Column) -> Column:
     """The distinct pairs of neighbouring characters; a shorter text is its own."""
     n = F.length(text)
@@ -113,17 +154,46 @@ def prefix_pairs(text: Column, least: float, other: Column, counts: Column) -> C
     return F.transform(F.slice(F.array_sort(F.transform(pairs, place)), F.lit(1), first), lambda x: x["p"])
 
 
-def near_texts(texts: DataFrame, text: str, least: float, counts: DataFrame | None = None) -> DataFrame:
+SAMPLE = 16  # one text of so many tells which blocks and questions are crowded; that only chooses the way
+FEW = 1_000_000  # pairs of rows whose records are broadcast to the texts
+
+
+def near_candidates(texts: DataFrame, least: float, crowd: int = 512) -> DataFrame:
+    """(ha, hb), ha < hb: hashes of all texts of a common block that may have a ratio >= least.  ``texts`` has t, s0, s1.
+
+    In a block of fewer than ``crowd`` texts every two are compared by length and parity; those of a crowded one meet only
+    on the rarest character pairs, by an exact prefix filter.
+    """
+    numbers = [F.xxhash64("t").alias("h"), F.length("t").alias("n"), "s0", "s1"]
+    keyed = texts.select(F.explode(block_keys("t")).alias("k"), *numbers).withColumn("k", F.xxhash64("k"))
+    crowded = cut(keyed.filter(F.pmod("h", F.lit(SAMPLE)) == 0).select("k", "h").distinct().groupBy("k").count().filter(F.col("count") * SAMPLE >= crowd).select("k"))
+
+    def met(some: DataFrame, on: list[str]) -> DataFrame:
+        a, b = (some.select(*on, *[F.col(c).alias(c + x) for c in ("h", "n", "s0", "s1")]) for x in "ab")
+        bits = F.col("s0a").bitwiseXOR(F.col("s0b")), F.col("s1a").bitwiseXOR(F.col("s1b"))
+        return a.join(b, on).filter((F.col("ha") < F.col("hb")) & parity_allows(bits, F.col("na"), F.col("nb"), least)).select("ha", "hb")
+
+    if crowded.isEmpty():
+        return met(keyed.repartition("k").distinct(), ["k"]).distinct()
+    plain = met(keyed.join(F.broadcast(crowded), "k", "left_anti").repartition("k").distinct(), ["k"])
+    some = texts.select("t", *numbers, F.explode(block_keys("t")).alias("k")).withColumn("k", F.xxhash64("k")).join(F.broadcast(crowded), "k")
+    some = some.groupBy("h", "t", "n", "s0", "s1").agg(F.collect_set("k").alias("ks"))
+    counts = cut(pair_counts(some.filter(F.pmod("h", F.lit(SAMPLE)) == 0), ["t"]))
+    other = F.greatest(F.col("n") - 3, F.col("n") * least / (2 - least))  # texts of a block differ by 3 characters or, beyond 200, by what the ratio allows
+    some = (some.join(F.broadcast(counts)).select("h", "n", "s0", "s1", "ks", F.explode(prefix_pairs(F.col("t"), least, other, F.col("_counts"))).alias("p"))  # counts is one row
+            .select("h", "n", "s0", "s1", F.explode("ks").alias("k"), F.xxhash64("p").alias("p")))
+    return plain.unionByName(met(some, ["k", "p"])).distinct()
+
+
+def near_texts(texts: DataFrame, text: str, least: float, crowd: int = 512) -> DataFrame:
     """(ta, tb): all ordered pairs of distinct texts (and each with itself) of a common block with a ratio >= least."""
-    keyed = texts.select(F.col(text).alias("t")).distinct()
-    counts = pair_counts(keyed, ["t"]) if counts is None else counts
-    n = F.length("t")
-    other = F.greatest(n - 3, n * least / (2 - least))  # texts of a block differ by 3 characters or, beyond 200, by what the ratio allows
-    keyed = (keyed.join(F.broadcast(counts)).select("t", F.explode(prefix_pairs(F.col("t"), least, other, F.col("_counts"))).alias("p"))  # counts is one row
-             .select("t", "p", F.explode(block_keys(F.col("t"))).alias("k")))
-    a, b = (keyed.select("k", "p", F.col("t").alias(x)) for x in ("ta", "tb"))
-    near = a.join(b, ["k", "p"]).filter(ratio_bound(F.col("ta"), F.col("tb")) >= least).select("ta", "tb").distinct()
-    return near.filter(ratio_reaches(least)("ta", "tb"))
+    one = texts.select(F.col(text).alias("t")).distinct().filter("t is not null")
+    ids = one.withColumn("h", F.xxhash64("t"))
+    pairs = near_candidates(one.select("t", parities("t").alias("s")).select("t", "s.*"), least, crowd)
+    pairs = pairs.unionByName(pairs.select(F.col("hb").alias("ha"), F.col("ha").alias("hb")))
+    both = pairs.join(ids.select(F.col("h").alias("ha"), F.col("t").alias("ta")), "ha").join(ids.select(F.col("h").alias("hb"), F.col("t").alias("tb")), "hb")
+    near = both.filter(F.arrays_overlap(block_keys("ta"), block_keys("tb")) & ratio_reaches(least)("ta", "tb")).select("ta", "tb")
+    return near.unionByName(one.select(F.col("t").alias("ta"), F.col("t").alias("tb")))
 
 
 def greedy_survivors(rows: DataFrame, edges: DataFrame, record: str, most: int = 50) -> DataFrame:
@@ -153,34 +223,71 @@ def greedy_survivors(rows: DataFrame, edges: DataFrame, record: str, most: int =
 
 
 def fuzzy_dedup(df: DataFrame, record: str, question: str, answer: str, rank: list[str], q_least: float = 0.96,
-                a_least: float = 0.92, pair_least: float = 0.95) -> DataFrame:
+                a_least: float = 0.92, pair_least: float = 0.95, crowd: int = 512) -> DataFrame:
     """(record, kept): a row goes when a kept, better one of a common block has nearly its question and its answer.
 
-    Questions are compared once per pair of distinct texts.  Rows of near questions are joined on rare character pairs of
-    their answers by exact prefix filters, so a question of very many answers does not give all their pairs.
+    Hashes, lengths and parities of the texts choose the pairs of rows, by bounds that lose none; only those pairs fetch
+    their texts.  Rows of a question of ``crowd`` answers or more meet on the rarest character pairs of their answers, by
+    exact prefix filters, so it does not give all their pairs.
     """
-    joined = F.concat(F.col("q"), F.lit("||"), F.col("a"))
-    rows = df.select(F.col(record).alias("r"), F.col(question).alias("q"), F.col(answer).alias("a"), F.struct(*rank).alias("rank")).withColumn("b", joined)
-    counts = cut(pair_counts(rows, ["q", "a"]))
-
-    def short(c: str, least: float) -> Column:
-        """Prefix pairs of a column, whatever the other text's length, with a letter that says of which column."""
-        found = prefix_pairs(F.col(c), least, F.length(c) * (least / (2 - least)), F.col("_counts"))
-        return F.transform(found, lambda p: F.concat(F.lit(c), p))
-
-    # rows of near questions meet only where their answers, or both together, may be near, too
-    keyed = (rows.join(F.broadcast(counts)).withColumn("g", F.explode(F.concat(short("a", a_least), short("b", pair_least)))).select("r", "q", "rank", F.length("a").alias("n"), "g"))
-    left = keyed.select(F.col("q").alias("ta"), "g", F.col("r").alias("loser"), F.col("rank").alias("_ra"), F.col("n").alias("_na"))
-    right = keyed.select(F.col("q").alias("tb"), "g", F.col("r").alias("winner"), F.col("rank").alias("_rb"), F.col("n").alias("_nb"))
-    longest = F.greatest("_na", "_nb") - F.least("_na", "_nb")
-    met = (near_texts(df, question, q_least, counts).join(left, "ta").join(right, ["tb", "g"])
-           .filter((F.col("_ra") < F.col("_rb")) & (longest <= (F.length("ta") + F.length("tb") + 4 + F.col("_na") + F.col("_nb")) * (1 - min(a_least, pair_least))))
-           .select("loser", "winner").distinct())
-    one, two = (rows.select(F.col("r").alias(name), F.col("a").alias(f"a{x}"), F.col("b").alias(f"p{x}")) for name, x in (("loser", "a"), ("winner", "b")))
+    rows = df.select(F.col(record).alias("r"), F.col(question).alias("q"), F.col(answer).alias("a"), F.struct(*rank).alias("rank"))
+    rows = written(rows.select("*", parities("q").alias("s"), parities("a").alias("t")))
+    known = rows.filter("q is not null and a is not null")
+    numbers = ["r", "rank", F.length("q").alias("n"), F.length("a").alias("m"), "s.s0", "s.s1", F.col("t.s0").alias("t0"), F.col("t.s1").alias("t1")]
+    short = known.select(F.xxhash64("q").alias("h"), *numbers)
+    pairs = cut(near_candidates(known.select(F.col("q").alias("t"), "s.*"), q_least, crowd))
+    crowded = cut(short.filter(F.pmod(F.xxhash64("r"), F.lit(SAMPLE)) == 0).groupBy("h").count().filter(F.col("count") * SAMPLE >= crowd).select("h"))
+
+    def sides(some: DataFrame, *on: str) -> list[DataFrame]:
+        return [some.select(*[F.col(c).alias(f"h{x}" if c == "h" else c) for c in on], *[F.col(c).alias(c + x) for c in ("r", "rank", "n", "m", "s0", "s1", "t0", "t1")]) for x in "ab"]
+
+    def chosen(both: DataFrame) -> DataFrame:
+        """(loser, winner) of the pairs of rows whose answers, or both texts together, may be near."""
+        apart = {c: F.col(c + "a").bitwiseXOR(F.col(c + "b")) for c in ("s0", "s1", "t0", "t1")}
+        joined = apart["s0"].bitwiseXOR(apart["t0"]), apart["s1"].bitwiseXOR(apart["t1"])
+        may = (parity_allows((apart["t0"], apart["t1"]), F.col("ma"), F.col("mb"), a_least)
+               | parity_allows(joined, F.col("na") + F.col("ma") + 2, F.col("nb") + F.col("mb") + 2, pair_least))
+        less = F.col("ranka") < F.col("rankb")
+        return (both.filter(may & (less | (F.col("ranka") > F.col("rankb"))))
+                .select(F.when(less, F.col("ra")).otherwise(F.col("rb")).alias("loser"), F.when(less, F.col("rb")).otherwise(F.col("ra")).alias("winner")))
+
+    def same(some: DataFrame) -> DataFrame:
+        a, b = sides(some, "h")
+        return chosen(a.join(b, (F.col("ha") == F.col("hb")) & (F.col("ranka") < F.col("rankb"))))
+
+    def across(some: DataFrame, which: DataFrame) -> DataFrame:
+        a, b = sides(some, "h")
+        return chosen(which.join(a, "ha").join(b, "hb"))
+
+    if crowded.isEmpty():
+        met = same(short).unionByName(across(short, pairs))
+    else:
+        many = F.broadcast(crowded)
+        hot = (pairs.join(many.withColumnRenamed("h", "ha"), "ha", "left_semi").unionByName(pairs.join(many.withColumnRenamed("h", "hb"), "hb", "left_semi")).distinct()
+               .unionByName(crowded.select(F.col("h").alias("ha"), F.col("h").alias("hb"))))
+        met = (same(short.join(many, "h", "left_anti"))
+               .unionByName(across(short, pairs.join(many.withColumnRenamed("h", "ha"), "ha", "left_anti").join(many.withColumnRenamed("h", "hb"), "hb", "left_anti"))))
+        near = hot.select(F.col("ha").alias("h")).unionByName(hot.select(F.col("hb").alias("h"))).distinct()
+        some = known.withColumns({"h": F.xxhash64("q"), "b": F.concat("q", F.lit("||"), "a")}).join(near, "h")
+        counts = cut(pair_counts(some.filter(F.pmod(F.xxhash64("r"), F.lit(SAMPLE)) == 0), ["q", "a"]))
+
+        def rare(c: str, least: float) -> Column:
+            """Prefix pairs of a column, whatever the other text's length, with a letter that says of which column."""
+            found = prefix_pairs(F.col(c), least, F.length(c) * (least / (2 - least)), F.col("_counts"))
+            return F.transform(found, lambda p: F.xxhash64(F.lit(c), p))
+
+        keyed = some.join(F.broadcast(counts)).select("h", F.explode(F.concat(rare("a", a_least), rare("b", pair_least))).alias("g"), *numbers)
+        a, b = sides(keyed, "h", "g")
+        met = met.unionByName(chosen(hot.join(a, "ha").join(b, ["hb", "g"])).distinct())
+    met = cut(met)
+    texts = known.select("r", "q", "a")
+    if met.count() <= FEW:  # else all texts are shuffled
+        ids = met.select(F.col("loser").alias("r")).unionByName(met.select(F.col("winner").alias("r"))).distinct()
+        texts = texts.join(F.broadcast(ids), "r", "left_semi")
+    one, two = (texts.select(F.col("r").alias(name), F.col("q").alias(f"q{x}"), F.col("a").alias(f"a{x}")) for name, x in (("loser", "a"), ("winner", "b")))
     both = met.join(one, "loser").join(two, "winner")
-    edges = cut(both.filter(((ratio_bound(F.col("aa"), F.col("ab")) >= a_least) & ratio_reaches(a_least)("aa", "ab"))
-                            | ((ratio_bound(F.col("pa"), F.col("pb")) >= pair_least) & ratio_reaches(pair_least)("pa", "pb"))).select("loser", "winner"))
-    return greedy_survivors(df, edges, record)
+    edges = cut(both.filter(F.arrays_overlap(block_keys("qa"), block_keys("qb")) & rows_reach(q_least, a_least, pair_least)("qa", "aa", "qb", "ab")).select("loser", "winner"))
+    return greedy_survivors(rows.select(F.col("r").alias(record)), edges, record)
 
 
 def funnel(stages: dict[str, DataFrame]) -> DataFrame:

@@ -57,14 +57,13 @@ _KEPT = f"""(SELECT *, {T.squeezed_sql('question')} AS q, {T.squeezed_sql('answe
 _DEDUP = f"""(SELECT *, first_value(idx) OVER (PARTITION BY q, a ORDER BY length(answer) DESC, length(question) DESC, idx) AS best FROM {_KEPT})"""
 
 
-def _kept(spark: SparkSession, d: str) -> DataFrame:
-    t = T.qa(spark, d)
+def _kept(t: DataFrame) -> DataFrame:
     t = t.filter(dedup.drop_reason(F.col("question"), F.col("answer")).isNull())
     return t.withColumns({"q": text.squeezed(F.col("question")), "a": text.squeezed(F.col("answer"))})
 
 
 def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.keep_best(_kept(spark, d), ["q", "a"], [F.length("answer"), F.length("question"), -F.col("idx")], "idx")
+    return dedup.keep_best(_kept(T.qa(spark, d)), ["q", "a"], [F.length("answer"), F.length("question"), -F.col("idx")], "idx")
 
 
 @query(f"""SELECT 0 AS at, 'raw' AS stage, count(*) AS rows FROM {T.QA} UNION ALL SELECT 1, 'after_filter', count(*) FROM {_KEPT}
@@ -109,8 +108,9 @@ def block_candidates(spark, d):
 
 @query()
 def fuzzy_dedup(spark, d):
-    t = _deduplicated(spark, d).filter("duplicate_of is null").withColumns({"r1": F.length("answer"), "r2": F.length("question"), "r3": -F.col("idx")})
-    return dedup.fuzzy_dedup(cut(t.select("idx", "q", "a", "r1", "r2", "r3")), "idx", "q", "a", ["r1", "r2", "r3"])
+    t = _kept(T.qa_loaded(spark, d)).select("q", "a", F.length("answer").alias("r1"), F.length("question").alias("r2"), (-F.col("idx")).alias("r3"))
+    best = dedup.best_of(t, ["q", "a"], ["r1", "r2", "r3"])
+    return dedup.fuzzy_dedup(best.withColumn("idx", -F.col("r3")), "idx", "q", "a", ["r1", "r2", "r3"])
 
 
 @query()

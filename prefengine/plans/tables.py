@@ -10,10 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qa_loaded(spark: SparkSession, d: str) -> DataFrame:
+    """(idx, question, answer) of the cleaned rows as loaded, some of them twice; nulls as ''."""
+    t = read(spark, d, "sample_clean")
+    return t.select("idx", F.coalesce("question_clean", F.lit("")).alias("question"), F.coalesce("answer_clean", F.lit("")).alias("answer"))
+
+
 def qa(spark: SparkSession, d: str) -> DataFrame:
     """(idx, question, answer) of the cleaned rows, nulls as ''."""
-    t = read(spark, d, "sample_clean")
-    return t.select("idx", F.coalesce("question_clean", F.lit("")).alias("question"), F.coalesce("answer_clean", F.lit("")).alias("answer")).distinct()
+    return qa_loaded(spark, d).distinct()
 
 
 QA = "(SELECT DISTINCT idx, coalesce(question_clean, '') AS question, coalesce(answer_clean, '') AS answer FROM sample_clean)"

@@ -253,3 +253,66 @@ def test_funnel_in_one_pass(rows):
     got = [tuple(r) for r in dedup.filter_funnel(df, F.col("k"), [F.col("q")]).collect()]
     assert got == [(0, "raw", 4), (1, "after_filter", 3), (2, "after_exact_dedup", 2)]
     assert [r["rows"] for r in dedup.filter_funnel(df.limit(0), F.col("k"), [F.col("q")]).collect()] == [0, 0, 0]
+
+
+def _varied(rng, text, letters, share):
+    out = [rng.choice([c + rng.choice(letters), "", rng.choice(letters)]) if rng.random() < share else c for c in text]
+    return "".join(out) or text
+
+
+@pytest.mark.parametrize("crowd", [1, 512])
+def test_fuzzy_dedup_equals_a_scan_whatever_is_crowded(rows, crowd, monkeypatch):
+    """Only crowded blocks and questions are cut into character pairs; the rows are the same either way."""
+    if crowd > 1:
+        monkeypatch.setattr(dedup, "prefix_pairs", lambda *_: pytest.fail("character pairs of texts that are not crowded"))
+    rng = random.Random(12)
+    letters = [chr(0x4e00 + i) for i in range(300)]
+    asked = ["".join(rng.choice(letters) for _ in range(n)) for n in (1, 9, 30, 52, 210)]
+    said = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 60))) for _ in range(25)]
+    data = dict.fromkeys((_varied(rng, rng.choice(asked), letters, 0.02), _varied(rng, rng.choice(said), letters, 0.03)) for _ in range(350))
+    data = [(i, q, a, -i) for i, (q, a) in enumerate(data)]
+    def keys(q):
+        band = min(len(q) // 4, 50)
+        return {("p", band, q[:8]), ("s", band, q[-8:])}
+    near = lambda x, y, least: 2 * min(len(x), len(y)) >= least * (len(x) + len(y)) and SequenceMatcher(None, x, y).ratio() >= least
+    kept = []
+    for i, q, a, _ in data:
+        if not any(keys(q) & keys(p) and near(q, p, 0.96) and (near(a, b, 0.92) or near(f"{q}||{a}", f"{p}||{b}", 0.95)) for _, p, b in kept):
+            kept.append((i, q, a))
+    odd = [(1000, None, "x", 0), (1001, None, "x", 0), (1002, "x", None, 0)]  # an unknown text is near none
+    got = dedup.fuzzy_dedup(rows(data + odd, "idx int, q string, a string, r int"), "idx", "q", "a", ["r"], crowd=crowd).collect()
+    assert sorted(r["idx"] for r in got) == [*range(len(data)), 1000, 1001, 1002]
+    assert {r["idx"] for r in got if r["kept"]} == {i for i, *_ in kept} | {1000, 1001, 1002} and len(kept) < len(data) * 0.9
+
+
+def test_near_texts_of_crowded_blocks(rows):
+    rng = random.Random(4)
+    letters = [chr(0x4e00 + i) for i in range(40)]
+    start = "退款什么时候到账"
+    texts = {start + _varied(rng, "".join(letters[:n]), letters, 0.06) for n in (12, 20, 32) for _ in range(150)}
+    def keys(q):
+        return {("p", len(q) // 4, q[:8]), ("s", len(q) // 4, q[-8:])}
+    want = {(a, b) for a in texts for b in texts if keys(a) & keys(b) and SequenceMatcher(None, a, b).ratio() >= 0.96}
+    for crowd in (1, 512):
+        got = [(r["ta"], r["tb"]) for r in dedup.near_texts(rows([(t,) for t in texts], "t string"), "t", 0.96, crowd).collect()]
+        assert set(got) == want and len(got) == len(want) > len(texts) + 200
+
+
+def test_parities_differ_in_at_most_the_unmatched(rows):
+    rng = random.Random(2)
+    data = []
+    for _ in range(300):
+        a = "".join(rng.choice("甲乙丙丁戊😀ab|") for _ in range(rng.randint(0, 40)))
+        data.append((a, _varied(rng, a, "甲乙丙子", 0.1)))
+    df = rows(data, "a string, b string").select("a", "b", dedup.parities("a").alias("x"), dedup.parities("b").alias("y"), dedup.parities(F.concat("a", F.lit("||"), "b")).alias("z"))
+    bits = lambda r: (r["s0"] & (1 << 64) - 1, r["s1"] & (1 << 64) - 1)
+    for r in df.collect():
+        x, y, z = bits(r["x"]), bits(r["y"]), bits(r["z"])
+        unmatched = len(r["a"]) + len(r["b"]) - 2 * sum(m.size for m in SequenceMatcher(None, r["a"], r["b"], autojunk=False).get_matching_blocks())
+        assert sum((p ^ q).bit_count() for p, q in zip(x, y)) <= unmatched
+        assert (x[0] ^ y[0], x[1] ^ y[1]) == z  # the two bars between them cancel
+
+
+def test_best_of_is_one_row_for_each_key(rows):
+    df = rows([("q", "a", 5, -2), ("q", "a", 5, -1), ("q", "a", 5, -1), ("q", "b", 1, -3), ("", "", 9, -4)], "q string, a string, r1 int, r2 int")
+    assert sorted(tuple(r) for r in dedup.best_of(df, ["q", "a"], ["r1", "r2"]).collect()) == [("", "", 9, -4), ("q", "a", 5, -1), ("q", "b", 1, -3)]
